@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontaminate
+from millrace.llm import decontaminate, jaccard_join
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,5 +38,9 @@ FROM dw d LEFT JOIN cover c USING (rid) LEFT JOIN named m USING (rid)
 """
 
 
-QUERIES = {"op10_decontaminate": op10_decontaminate}
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.links_and_components(_table(spark, sf_dir, "documents")).drop("th")
+
+
+QUERIES = {"op9_jaccard_join": op9_jaccard_join, "op10_decontaminate": op10_decontaminate}
 SQL = {"op10_decontaminate": OP10_SQL}
