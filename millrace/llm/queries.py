@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontaminate, jaccard_join
+from millrace.llm import decontaminate, jaccard_join, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,5 +42,13 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.links_and_components(_table(spark, sf_dir, "documents")).drop("th")
 
 
-QUERIES = {"op9_jaccard_join": op9_jaccard_join, "op10_decontaminate": op10_decontaminate}
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
+    "op9_jaccard_join": op9_jaccard_join,
+    "op10_decontaminate": op10_decontaminate,
+}
 SQL = {"op10_decontaminate": OP10_SQL}
