@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, jaccard_join, language_id, lm_score, substring_dedup
+from millrace.llm import decontaminate, flac, jaccard_join, language_id, lm_score, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,9 +55,16 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.detect(_table(spark, sf_dir, "documents"))
 
 
+def op4_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("payload"))
+    digests = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    return flac.decode(flac.encode(rows), blocks=False).select(*digests)
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_lm_score": op2_lm_score,
+    "op4_flac": op4_flac,
     "op5_language_id": op5_language_id,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_decontaminate": op10_decontaminate,
