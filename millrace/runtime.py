@@ -68,6 +68,7 @@ class Workspace:
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(out)] = path
+        self.release()
         return out
 
     def drop(self, *frames: DataFrame) -> None:
