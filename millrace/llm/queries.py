@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, flac, jaccard_join, language_id, lm_score, substring_dedup
+from millrace.llm import decontaminate, flac, html_extract, jaccard_join, language_id, lm_score, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.detect(_table(spark, sf_dir, "documents"))
 
 
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
 def op4_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("payload"))
     digests = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
@@ -64,6 +68,7 @@ def op4_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_lm_score": op2_lm_score,
+    "op3_html_extract": op3_html_extract,
     "op4_flac": op4_flac,
     "op5_language_id": op5_language_id,
     "op9_jaccard_join": op9_jaccard_join,
