@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, flac, html_extract, jaccard_join, language_id, lm_score, substring_dedup
+from millrace.llm import decontaminate, flac, html_extract, jaccard_join, language_id, lm_score, sentencepiece_nbest, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,12 +65,18 @@ def op4_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.decode(flac.encode(rows), blocks=False).select(*digests)
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sentencepiece_nbest.decode(sentencepiece_nbest.encode(_table(spark, sf_dir, "documents")))
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.col("n_best")[0]["ids_sha256"].alias("ids_sha256"), "score", "n_best", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_lm_score": op2_lm_score,
     "op3_html_extract": op3_html_extract,
     "op4_flac": op4_flac,
     "op5_language_id": op5_language_id,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_decontaminate": op10_decontaminate,
 }
