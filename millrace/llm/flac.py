@@ -471,7 +471,7 @@ def _encode(batches: Iterator[pa.RecordBatch], unit: int) -> Iterator[pa.RecordB
             n = np.diff(offsets)
             raw = data.tobytes()
             size = np.maximum(-(-n // unit), 1) * unit
-            padded = [raw[s : s + k] + bytes(z - k) for s, k, z in zip(offsets.tolist(), n.tolist(), size.tolist(), strict=True)]
+            padded = [raw[s : s + k] + bytes(z - k) for s, k, z in zip(offsets[:-1].tolist(), n.tolist(), size.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, to - at), pa.array(n, pa.int64()), pa.array(encode_payloads(padded), pa.binary())], names=["doc_id", "n_bytes", "media"])
 
 

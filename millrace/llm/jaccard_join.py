@@ -136,11 +136,15 @@ def links_and_components(documents: DataFrame, *, shingle: int = 4, percent: int
     groups = work.save(marked.groupBy("pg").agg(F.first("n").cast("int").alias("n"), F.first("prefix").alias("prefix")))
     work.drop(marked)
 
-    tokens = groups.select("pg", "n", F.posexplode("prefix").alias("pos", "token"))
+    # Narrow rows: a token is carried once, under the key that both sides exchange by.
+    often_held = groups.select(F.explode("prefix").alias("token")).groupBy("token").count().where("count > 1").select(runtime.rekey("token").alias("token"))
+    tokens = groups.select("pg", "n", F.posexplode("prefix").alias("pos", "t")).select(runtime.rekey("t").alias("token"), "pg", "n", "pos")
+    shared = work.save(tokens.join(often_held, "token"))
     nearest = F.shiftleft(F.col("pos").cast("long"), 32) + F.shiftrightunsigned("pg", 32)
-    buckets = tokens.groupBy("token").agg(F.min("pg").alias("lo"), F.max("pg").alias("hi"), F.min_by("pg", nearest).alias("centre"), F.min_by("n", nearest).alias("cn"), F.min("pos").alias("cpos")).where("lo <> hi").drop("lo", "hi")
-    shared = work.save(components.joined(tokens, buckets, "token"))
-    stars = shared.where("pg <> centre").where(_fits("n", "pos", "cn", "cpos", percent)).groupBy("pg", "centre").count().groupBy("pg").agg(F.max_by("centre", F.struct("count", "centre")).alias("centre"))
+    buckets = shared.groupBy("token").agg(F.min_by("pg", nearest).alias("centre"), F.min_by("n", nearest).alias("cn"), F.min("pos").alias("cpos"))
+    buckets = buckets.select(runtime.rekey("token").alias("k"), "centre", "cn", "cpos")
+    stars = shared.select(runtime.rekey("token").alias("k"), "pg", "n", "pos").join(buckets, "k")
+    stars = stars.where("pg <> centre").where(_fits("n", "pos", "cn", "cpos", percent)).groupBy("pg", "centre").count().groupBy("pg").agg(F.max_by("centre", F.struct("count", "centre")).alias("centre"))
 
     middle = classes.groupBy("pg").agg(F.min("sig").alias("y"), F.count("*").alias("m"))
     inner = components.joined(classes.select(F.col("sig").alias("x"), "pg"), middle.where("m > 1").select("pg", "y"), "pg").where("x <> y").select("x", "y")
