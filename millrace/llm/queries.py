@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, flac, html_extract, jaccard_join, language_id, lm_score, sentencepiece_nbest, substring_dedup
+from millrace.llm import decontaminate, flac, html_extract, jaccard_join, language_id, lm_score, secret_scan, sentencepiece_nbest, substring_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,12 +70,23 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.col("n_best")[0]["ids_sha256"].alias("ids_sha256"), "score", "n_best", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "start", "end", F.sha2("cand", 256).alias("candidate_sha256"), F.round("probability", 6).alias("probability"), "is_secret")
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_lm_score": op2_lm_score,
     "op3_html_extract": op3_html_extract,
     "op4_flac": op4_flac,
     "op5_language_id": op5_language_id,
+    "op6_secret_scan": op6_secret_scan,
+    "op7_url_filter": op7_url_filter,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_decontaminate": op10_decontaminate,
