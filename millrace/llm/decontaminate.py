@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 from millrace import runtime
 from millrace.llm import wordscan
 
-_OUT = "doc_id long, text string, n_words long, spans array<struct<start: int, end: int>>, items array<string>"
+_SPANS = "array<struct<start: int, end: int>>"
+_OUT = f"doc_id long, text string, n_words long, spans {_SPANS}, items array<string>"
 
 
 class Index:
@@ -116,13 +117,12 @@ def _merged(b: pa.RecordBatch, index: Index, w: wordscan.Words, start: np.ndarra
     n = b.num_rows
     spans: list = [[] for _ in range(n)]
     items: list = [[] for _ in range(n)]
-    known = "spans" in b.schema.names
     touched = set()
-    if known:
-        for d, (s, i) in enumerate(zip(b.column("spans"), b.column("items"), strict=True)):
-            if len(s) or len(i):
+    if b.column("spans").null_count < n:  # what earlier blocks have found
+        for d, (s, i) in enumerate(zip(b.column("spans").to_pylist(), b.column("items").to_pylist(), strict=True)):
+            if s:
                 touched.add(d)
-                spans[d], items[d] = s.as_py(), i.as_py()
+                spans[d], items[d] = s, i
     if len(start):
         order = np.lexsort((start, w.doc[start]))
         start, window = start[order], window[order]
@@ -150,6 +150,39 @@ def _union(spans: list[dict]) -> list[dict]:
     return out
 
 
+def _clean(batches: Iterator[pa.RecordBatch], at: int, index: Index) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        ok = np.ones(b.num_rows, dtype=bool)
+        for a, _, data, offsets in wordscan.slices(b.column(at)):
+            w = wordscan.scan(data, offsets, wordscan.ALNUM, True)
+            start, _ = index.find(w)
+            ok[a + w.doc[start]] = False
+        yield b.filter(pa.array(ok))
+
+
+def _blocks(benchmark: DataFrame, window: int, shingle: int, block_bytes: int) -> Iterator[Index]:
+    """The benchmark's windows, a block of items at a time; sizes are measured before any is collected."""
+    items = runtime.pick(benchmark, item_id="string", text="string").where("text is not null").distinct()
+    total = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    blocks = max(1, math.ceil(total / block_bytes))
+    for k in range(blocks):
+        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k)
+        rows = part.toArrow()
+        yield Index(rows["item_id"].to_pylist(), rows["text"].combine_chunks(), window, shingle)
+
+
+def keep_clean(documents: DataFrame, benchmark: DataFrame, *, window: int = 10, shingle: int = 5, block_bytes: int = 8 << 20) -> DataFrame:
+    """``documents`` without those in which a benchmark window occurs."""
+    spark = documents.sparkSession
+    runtime.ship(spark)
+    at = documents.columns.index("text")
+    out = documents
+    for block in _blocks(benchmark, window, shingle, block_bytes):
+        index = spark.sparkContext.broadcast(block)
+        out = out.mapInArrow(lambda it, index=index: _clean(it, at, index.value), documents.schema)
+    return out
+
+
 def find_overlaps(documents: DataFrame, benchmark: DataFrame, *, window: int = 10, shingle: int = 5, block_bytes: int = 8 << 20) -> DataFrame:
     """Every document with what it shares with the benchmark.
 
@@ -158,19 +191,14 @@ def find_overlaps(documents: DataFrame, benchmark: DataFrame, *, window: int = 1
     """
     spark = documents.sparkSession
     runtime.ship(spark)
-    items = runtime.pick(benchmark, item_id="string", text="string").where("text is not null").distinct()
-    total = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    blocks = max(1, math.ceil(total / block_bytes))
-    out = runtime.pick(documents, doc_id="long", text="string")
+    out = runtime.pick(documents, doc_id="long", text="string").select("*", *[F.lit(None).cast(k).alias(n) for n, k in (("n_words", "long"), ("spans", _SPANS), ("items", "array<string>"))])
     work = None
-    for k in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k)
-        rows = part.toArrow()
-        index = spark.sparkContext.broadcast(Index(rows["item_id"].to_pylist(), rows["text"].combine_chunks(), window, shingle))
-        out = out.mapInArrow(lambda it, index=index: _mark(index.value, it), _OUT)
-        if k % 4 == 3 and k + 1 < blocks:
+    for k, block in enumerate(_blocks(benchmark, window, shingle, block_bytes)):
+        index = spark.sparkContext.broadcast(block)
+        if k and k % 4 == 0:
             work = work or runtime.Workspace(spark, "decontaminate")
             out = work.save(out)
+        out = out.mapInArrow(lambda it, index=index: _mark(index.value, it), _OUT)
     return out
 
 
