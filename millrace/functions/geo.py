@@ -144,10 +144,19 @@ def intersection(a: Column, b: Column) -> Column:
     return F.pandas_udf(shared, kind)(a, b)
 
 
+def intersection_area(a: Column, b: Column) -> Column:
+    """Planar area that two rings share, in square degrees; the second must be convex."""
+
+    def shared(a: pd.Series, b: pd.Series) -> pd.Series:
+        rings = [clip([(p["lon"], p["lat"]) for p in x], [(p["lon"], p["lat"]) for p in y]) for x, y in zip(a, b, strict=True)]
+        return pd.Series([abs(sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(r, r[1:], strict=False))) / 2 for r in rings])
+
+    return F.pandas_udf(shared, T.DoubleType())(a, b)
+
+
 def overlap_ratio(a: Column, b: Column) -> Column:
     """Area of the intersection over the area of the first."""
-    shared = intersection(a, b)
-    return F.when(F.size(shared) > 2, area_deg2(shared) / area_deg2(a)).otherwise(F.lit(0.0))
+    return intersection_area(a, b) / area_deg2(a)
 
 
 def geohash(p: Column, length: int) -> Column:
@@ -233,7 +242,8 @@ def by_region(points: DataFrame, lon: str, lat: str, regions: DataFrame, name: s
     equality and the exact test runs on neighbours only.
     """
     r = regions.select(F.col(name).alias("region"), F.col(polygon).alias("_poly"))
-    box = r.withColumns({k: f(F.transform(F.col("_poly")[0], lambda p, c=c: p[c])) for k, f, c in (("_w", F.array_min, "lon"), ("_e", F.array_max, "lon"), ("_s", F.array_min, "lat"), ("_n", F.array_max, "lat"))})
+    outer = F.col("_poly")[0]
+    box = r.withColumns({"_w": F.array_min(outer["lon"]), "_e": F.array_max(outer["lon"]), "_s": F.array_min(outer["lat"]), "_n": F.array_max(outer["lat"])})
     floor = lambda v: F.floor(F.col(v) / cell).cast("int")
     cells = box.withColumn("_cx", F.explode(F.sequence(floor("_w"), floor("_e")))).withColumn("_cy", F.explode(F.sequence(floor("_s"), floor("_n")))).select("region", "_poly", "_cx", "_cy")
     p = points.withColumns({"_cx": floor(lon), "_cy": floor(lat)})

@@ -73,10 +73,14 @@ def matches(tokens: Column, query: str, dictionary: str = "english") -> Column:
     return either() if parts else F.lit(False)
 
 
+def _same(w: Column):
+    return lambda t: t == w
+
+
 def rank(tokens: Column, words: list[str], dictionary: str = "english") -> Column:
     """Share of the query's words found, damped by text length; an approximation of ``ts_rank``."""
     terms = [(_stem(F.lower(F.lit(w))) if dictionary == "english" else F.lower(F.lit(w))) for w in words]
-    hits = sum((F.size(F.filter(tokens, lambda t, w=w: t == w)) for w in terms), F.lit(0))
+    hits = sum((F.size(F.filter(tokens, _same(w))) for w in terms), F.lit(0))
     return F.when(F.size(tokens) > 0, hits / (1 + F.log(F.size(tokens) + 1.0))).otherwise(F.lit(0.0))
 
 
