@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -69,6 +70,29 @@ class Chunk:
         self.train = ~table.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
 
 
+def _bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch that go to one chunk as one compressed piece, so that texts are exchanged small."""
+    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    for b in batches:
+        order = b.column("chunk").to_numpy().argsort(kind="stable")
+        b = b.take(pa.array(order))
+        chunk = b.column("chunk").to_numpy()
+        cut = np.flatnonzero(np.append(True, chunk[1:] != chunk[:-1])) if len(chunk) else np.zeros(0, np.int64)
+        ids, blobs = [], []
+        for s, e in zip(cut.tolist(), [*cut[1:].tolist(), len(chunk)], strict=False):
+            part = pa.Table.from_batches([b.slice(s, e - s).select(["doc_id", "text", "held_out"])]).combine_chunks()
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, part.schema, options=options) as w:
+                w.write_table(part)
+            ids.append(int(chunk[s]))
+            blobs.append(sink.getvalue().to_pybytes())
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], names=["chunk", "docs"])
+
+
+def _opened(table: pa.Table) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in table.column("docs").to_pylist()]).combine_chunks()
+
+
 def _pack(keys: np.ndarray) -> bytes:
     """Sorted keys as differences by byte plane: the planes of leading zeros compress away."""
     return zlib.compress(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
@@ -89,7 +113,7 @@ def _unpack_counts(blob: bytes) -> np.ndarray:
 
 
 def _ask(key: tuple, table: pa.Table, buckets: int) -> pa.Table:
-    c = Chunk(table)
+    c = Chunk(_opened(table))
     learned = c.train[c.doc]
     rows: list[tuple] = []
     edges = np.array([(i << 64) // buckets for i in range(1, buckets)], dtype=np.uint64)
@@ -147,7 +171,7 @@ def _bucket(c: np.ndarray) -> np.ndarray:
 
 
 def _ratios(docs: pa.Table, replies: pa.Table, buckets: int, n: int, v: int) -> pa.Table:
-    c = Chunk(docs)
+    c = Chunk(_opened(docs))
     uni, bi = _counts(c, replies, buckets)
     use = c.train[c.doc]
 
@@ -157,7 +181,7 @@ def _ratios(docs: pa.Table, replies: pa.Table, buckets: int, n: int, v: int) ->
         seen, own = np.unique(key, return_counts=True)
         k = c.doc.astype(np.int64) * len(counts) + ask
         at = np.minimum(np.searchsorted(seen, k), len(seen) - 1)
-        return counts[ask] - np.where(seen[at] == k, own[at], 0)
+        return np.maximum(counts[ask] - np.where(seen[at] == k, own[at], 0), 0)
 
     pair, context, token = rest(bi, c.b, c.b), rest(uni, c.u, c.h), rest(uni, c.u, c.u)
     others = np.maximum(n - c.size[c.doc], 1)
@@ -188,6 +212,7 @@ def weights(cells: np.ndarray, counts: np.ndarray, rounds: int = 60) -> np.ndarr
 
 
 def _scored(docs: pa.Table, replies: pa.Table, buckets: int, n: int, v: int, mix: np.ndarray) -> pa.Table:
+    docs = _opened(docs)
     c = Chunk(docs)
     uni, bi = _counts(c, replies, buckets)
     token, context, pair = uni[c.u], uni[c.h], bi[c.b]
@@ -216,7 +241,7 @@ def score(documents: DataFrame, *, folds: int = 10, chunk_bytes: int = 8 << 20,
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = min(_MOST_PIECES, max(1, math.ceil(total / chunk_bytes)))
     buckets = min(_MOST_PIECES // 2, max(1, math.ceil(total / bucket_bytes)))
-    dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
+    dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int")).mapInArrow(_bundle, "chunk int, docs binary")
     asked = dealt.groupBy("chunk").applyInArrow(lambda k, t: _ask(k, t, buckets), "bucket int, chunk int, keys binary, counts binary")
     replies = work.save(asked.groupBy("bucket").applyInArrow(lambda k, t: _answer(k, t, buckets), "chunk int, bucket int, found binary, distinct long, tokens long"))
     work.release()
