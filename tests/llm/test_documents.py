@@ -1,0 +1,263 @@
+"""Document operators against brute force on small hard rows."""
+
+import collections
+import hashlib
+import math
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from millrace.llm import decontaminate, flac, jaccard_join, language_id, lm_score, secret_scan, substring_dedup
+from tests.llm.rows import documents, frame, words
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return documents()
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return frame(spark, rows).repartition(3).cache()
+
+
+def tally(values):
+    return collections.Counter(map(tuple, values))
+
+
+@pytest.mark.parametrize("first", [None, 13])
+def test_substring_dedup(spark, docs, rows, first):
+    starts = collections.defaultdict(lambda: math.inf)
+    for i, t in rows:
+        w = words(t)
+        for k in range(len(w) - 49):
+            key = tuple(w[k : k + 50])
+            starts[key] = min(starts[key], math.inf if i is None else i)
+    expected = []
+    for i, t in rows:
+        w = words(t)
+        gone = [False] * len(w)
+        for k in range(len(w) - 49):
+            if starts[tuple(w[k : k + 50])] < (math.inf if i is None else i):
+                gone[k : k + 50] = [True] * 50
+        kept = b" ".join(x for x, g in zip(w, gone, strict=True) if not g)
+        expected.append((i, len(w), sum(gone), hashlib.sha256(kept).hexdigest()))
+    got = substring_dedup.dedup(docs, first=first).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert tally(got) == tally(expected)
+
+
+def test_levels_double():
+    assert substring_dedup.levels(50) == [25, 50] and substring_dedup.levels(50, 13) == [13, 26, 50] and substring_dedup.levels(1) == [1]
+
+
+def brute_components(rows, n=4, percent=85):
+    sets = []
+    for i, t in rows:
+        w = words(t, lower=True)
+        sets.append((i, frozenset(tuple(w[k : k + n]) for k in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])))
+    parent = list(range(len(sets)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a):
+            x, y = sets[a][1], sets[b][1]
+            both = len(x & y)
+            if both and 100 * both >= percent * (len(x) + len(y) - both):
+                parent[find(a)] = find(b)
+    least = {}
+    for k, (i, _) in enumerate(sets):
+        r = find(k)
+        least[r] = min((v for v in (least.get(r), i) if v is not None), default=None)
+    return [(i, len(s), least[find(k)] if s else i) for k, (i, s) in enumerate(sets)]
+
+
+def test_jaccard_join(docs, rows):
+    got = jaccard_join.links_and_components(docs).select("doc_id", "n_shingles", "component_id").collect()
+    assert tally(got) == tally(brute_components(rows))
+
+
+def test_jaccard_join_of_a_large_family(spark):
+    import random
+
+    r = random.Random(5)
+    base = [f"w{k}" for k in range(100)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for _ in range(r.randint(0, 5)):
+            w[r.randrange(100)] = f"u{r.random()}"
+        rows.append((i, " ".join(w)))
+    got = jaccard_join.links_and_components(frame(spark, rows)).select("doc_id", "n_shingles", "component_id").collect()
+    assert tally(got) == tally(brute_components(rows))
+
+
+def test_decontamination(spark, docs, rows):
+    texts = dict(rows)
+    w = [x.decode() for x in words(texts[next(i for i, t in rows if t and t.count(" ") > 5000)], lower=True)]
+    items = [(1, " ".join(w[40:75])), (2, "TWO words"), (3, None), (4, "..."), (5, " ".join(w[70:82]).upper()), (10, "two WORDS"), (5, " ".join(w[70:82]).upper()), (None, "one")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    split = lambda t: [x for x in words("".join(c if c.isalnum() and c.isascii() or ord(c) > 127 else " " for c in (t or "")), lower=True)]
+    windows = collections.defaultdict(set)
+    for i, t in items:
+        x = split(t)
+        n = min(10, len(x))
+        for k in range(len(x) - n + 1 if n else 0):
+            windows[tuple(x[k : k + n])].add(i)
+    expected = []
+    for i, t in rows:
+        x = split(t)
+        hit, found = set(), set()
+        for key, owners in windows.items():
+            for k in range(len(x) - len(key) + 1):
+                if tuple(x[k : k + len(key)]) == key:
+                    hit |= set(range(k, k + len(key)))
+                    found |= owners - {None}
+        ids = ",".join(sorted(map(str, found)))
+        expected.append((i, len(x), len(hit), len(found), hashlib.sha256(ids.encode()).hexdigest(), bool(hit)))
+    columns = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    for block in (8 << 20, 60):
+        assert tally(decontaminate.contamination(docs, bench, block_bytes=block).select(columns).collect()) == tally(expected)
+    clean = decontaminate.keep_clean(docs, bench, block_bytes=60)
+    assert clean.columns == docs.columns and clean.count() == sum(not e[-1] for e in expected)
+    assert decontaminate.contamination(docs, bench.limit(0)).where("contaminated").isEmpty()
+
+
+def test_lm_score(docs, rows):
+    counts, pairs = collections.Counter(), collections.Counter()
+    seqs = []
+    for i, t in rows:
+        w = [*words(t, lower=True), None]
+        held = i is None or zlib.crc32(str(i).encode()) % 10 == 0
+        seqs.append((i, held, w))
+        if not held:
+            counts.update(w)
+            pairs.update(zip([0, *w[:-1]], w, strict=True))
+    n, v = sum(counts.values()), len(counts)
+    got = lm_score.score(docs, chunk_bytes=20000, bucket_bytes=20000).collect()
+    expected = [(i, h, len(w), sum(counts[x] > 0 for x in w), n, round(sum(math.log10((counts[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w), 6)) for i, h, w in seqs]
+    assert tally((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == tally(expected)
+    assert all(-1e6 < r.score < 0 for r in got)
+
+
+def test_lm_weights_prefer_what_predicts():
+    import numpy as np
+
+    level = lambda p: 1 + 2 * int(math.log2(p))
+    cells = np.array([(5 << 14) | (level(4096) << 7) | level(16), (5 << 14) | level(16)])
+    a = lm_score.weights(cells, np.array([90, 10]))[5]
+    assert abs(a.sum() - 1) < 1e-9 and a[2] > 0.8
+
+
+def test_language_mixture(spark):
+    import random
+
+    r = random.Random(3)
+    alphabet = {"aa": "abcde", "bb": "vwxyz", "cc": "éèçàù"}
+    word = lambda k: "".join(r.choice(alphabet[k]) for _ in range(r.randint(2, 7)))
+    rows, truth = [], {}
+    for i in range(300):
+        k = r.choice(list(alphabet))
+        rows.append((i, " ".join(word(k) for _ in range(r.randint(3, 40)))))
+        truth[i] = k
+    rows += [(1000, None), (1001, "12 .. 7"), (1002, ""), (1003, " ".join([word("aa") for _ in range(60)] + [word("bb") for _ in range(40)])), (None, word("aa"))]
+    full = [(i, t, truth.get(i), 1) for i, t in rows]
+    df = spark.createDataFrame(full, "doc_id long, text string, lang string, letter int")
+    got = {r.doc_id: r for r in language_id.detect(df).collect()}
+    assert all(got[i].lang_pred == k and 0 <= got[i].score <= 1 for i, k in truth.items() if got[i].held_out)
+    assert [got[i].lang_pred for i in (1000, 1001, 1002)] == ["und"] * 3 and got[1000].score == 0
+    shares = {x.lang: x.share for x in got[1003].languages}
+    assert set(shares) == {"aa", "bb"} and abs(shares["aa"] - 0.6) < 0.1
+    kept = language_id.keep_identified(df)
+    assert kept.columns == df.columns and kept.count() == len(rows) - 3
+    none = df.withColumn("lang", F.lit(None).cast("string"))
+    assert language_id.detect(none).where("lang_pred <> 'und'").isEmpty() and language_id.keep_identified(none).count() == len(rows) - 3
+
+
+def test_flac_round_trip(spark, docs, rows):
+    payloads = docs.select("doc_id", F.encode("text", "UTF-8").alias("payload"))
+    got = flac.decode(flac.encode(payloads)).collect()
+    expected = []
+    for i, t in rows:
+        b = (t or "").encode()
+        p = b + bytes(max(1, -(-len(b) // 64)) * 64 - len(b))
+        expected.append((i, len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:])))
+    assert tally((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in got) == tally(expected)
+    assert all(b.first_sample % 1024 == 0 for r in got for b in r.blocks) and all(r.error is None for r in got)
+
+
+def test_flac_detects_damage(spark):
+    media = flac.encode_payloads([bytes(range(256)) * 20, b"a" * 64])
+    bad = bytearray(media[0])
+    bad[-30] ^= 4
+    rows = [(1, media[0]), (2, bytes(bad)), (3, media[0][:200]), (4, None), (5, b"junk"), (6, media[1])]
+    got = {r.doc_id: r for r in flac.decode(spark.createDataFrame(rows, "doc_id long, media binary")).collect()}
+    assert got[1].error is None and got[6].error is None
+    assert all(got[i].error and got[i].payload_sha256 is None for i in (2, 3, 4, 5))
+
+
+def test_flac_lpc_subframe():
+    """A hand-made LPC frame of order 2 (precision 4, shift 1), with 5-bit Rice parameters and wasted bits."""
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    x = np.cumsum(rng.integers(-2, 3, 192)).clip(-30, 30).astype(int)
+    coefficients, shift, wasted, k = [3, -1], 1, 1, 2
+    bits = ""
+    put = lambda v, n: format(v & ((1 << n) - 1), f"0{n}b")
+    bits += put(0, 1) + put(32 + 1, 6) + "1" + "1"
+    bits += "".join(put(int(v), 8 - wasted) for v in x[:2]) + put(3, 4) + put(shift, 5) + "".join(put(c, 4) for c in coefficients)
+    bits += "01" + put(0, 4) + put(k, 5)
+    for t in range(2, len(x)):
+        e = int(x[t]) - ((coefficients[0] * int(x[t - 1]) + coefficients[1] * int(x[t - 2])) >> shift)
+        u = 2 * e if e >= 0 else -2 * e - 1
+        bits += "0" * (u >> k) + "1" + put(u, k)
+    bits += "0" * (-len(bits) % 8)
+    body = bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8))
+    head = bytes([0xFF, 0xF8, 0x60, 0x02, 0x00, 191])
+    raw = np.frombuffer(head, np.uint8)
+    head += bytes([int(flac._crc8(raw, np.array([0]), np.array([len(head)]))[0])])
+    whole = np.frombuffer(head + body, np.uint8)
+    crc = int(flac._crc16(whole, np.array([0]), np.array([len(whole)]))[0])
+    info = bytearray(flac.encode_payloads([bytes(192)])[0][8:42])
+    info[18:34] = bytes(16)
+    stream = b"fLaC" + (1 << 31 | 34).to_bytes(4, "big") + bytes(info) + head + body + crc.to_bytes(2, "big")
+    assert (flac.decode_streams([stream])[0]["samples"] == x << wasted).all()
+
+
+def test_secrets(spark):
+    key = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+    rows = [(1, f'see token = "{key}" here {key}'), (2, f"commit {key} fixes it"), (3, None), (4, ""), (5, f'é password: "q8Zr!f0pLw2x" and api_key="{key}"'), (6, "4111111111111111 and 2024-01-02T10-20-30-00"), (6, f"token={key}"), (None, f"secret: {key}")]
+    df = spark.createDataFrame([(i, t, 1, "c") for i, t in rows], "doc_id long, text string, start int, cand string")
+    got = secret_scan.scan(df).where("is_secret").collect()
+    texts = collections.defaultdict(list)
+    for i, t in rows:
+        texts[i].append(t)
+    assert all(any(t and t[r.start : r.end] == r.cand for t in texts[r.doc_id]) for r in got)
+    assert {(r.doc_id, r.cand) for r in got} >= {(1, key), (5, key), (5, "q8Zr!f0pLw2x"), (6, key), (None, key)}
+    assert not any(r.doc_id == 2 for r in got) and not any(r.cand.startswith("4111") for r in got)
+    clean = secret_scan.redact(df)
+    assert clean.columns == df.columns and clean.count() == len(rows)
+    texts = [r.text for r in clean.collect() if r.text]
+    assert f"commit {key} fixes it" in texts and 'é password: "<SECRET>" and api_key="<SECRET>"' in texts
+
+
+def test_secret_forest_on_unseen_findings(spark):
+    from pyspark.ml.feature import VectorAssembler
+
+    from millrace.llm import secret_findings
+
+    model = secret_scan.train(spark)
+    rows = spark.createDataFrame([(x["before"], x["cand"], x["after"], x["label"]) for x in secret_findings.labelled(600, seed=99)], "before string, cand string, after string, label int")
+    inputs = rows.select("label", *[v.alias(k) for k, v in secret_scan.features().items()])
+    judged = model.transform(VectorAssembler(inputCols=list(secret_scan.features()), outputCol="features").transform(inputs))
+    assert judged.where("prediction = label").count() / 600 > 0.95
+
+
+@pytest.mark.parametrize("f", [substring_dedup.dedup, jaccard_join.links_and_components, lm_score.score, language_id.detect, secret_scan.scan], ids=lambda f: f.__module__.rpartition(".")[2])
+def test_empty_table(docs, f):
+    assert f(docs.limit(0)).count() == 0
