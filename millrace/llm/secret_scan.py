@@ -29,7 +29,7 @@ _NAMES = r"passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|cred
 #: A private key, a long token with a digit, or a value assigned to a telling name.
 CANDIDATE = (
     r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[^-]*+-----END [A-Z ]{0,30}PRIVATE KEY-----"
-    r"|(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9])[A-Za-z0-9_+/=-]{16,}+"
+    r"|(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{16,}+={0,2}"
     r"|(?i)(?<=(?:passwd|password|pwd|secret|token|apikey|api_key)[\"']?\s{0,2}[=:]\s{0,2}[\"']?)[^\s\"']{8,}+"
 )
 _POSSIBLE = r"[0-9]|(?i:passw|pwd|secret|token|api_?key)|PRIVATE KEY"
