@@ -23,8 +23,11 @@ def label(edges: DataFrame, names: DataFrame, work: runtime.Workspace, most_roun
     that label's vertex, so rounds grow with the logarithm of the longest chain.
     """
     both = work.save(edges.select("x", "y").union(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).where("x <> y").distinct())
+    if both.isEmpty():
+        return names.select("v", "name", F.col("v").alias("root"))
     touched = both.select(F.col("x").alias("v")).distinct()
     labels = work.save(joined(names.select("v", "name"), touched, "v", "left_semi").select("v", F.struct("name", F.col("v").alias("root")).alias("l")))
+    kept = labels
     for _ in range(most_rounds):
         heard = joined(both, labels.select(F.col("v").alias("x"), "l"), "x").groupBy(F.col("y").alias("v")).agg(F.min("l").alias("m"))
         met = labels.join(heard, "v").select("v", F.col("l").alias("was"), F.least("l", "m").alias("l"))
@@ -32,9 +35,8 @@ def label(edges: DataFrame, names: DataFrame, work: runtime.Workspace, most_roun
         jump = joined(met, labels.select(F.col("v").alias("p"), F.col("l").alias("far")), "p").select("v", "was", F.least("l", "far").alias("l"))
         after = work.save(jump)
         changed = not after.where("was <> l").isEmpty()
-        work.drop(met, labels)
-        labels = after.select("v", "l")
-        work._paths[id(labels)] = work._paths.pop(id(after))
+        work.drop(met, kept)
+        labels, kept = after.select("v", "l"), after
         if not changed:
             break
     else:
