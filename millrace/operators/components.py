@@ -31,11 +31,11 @@ def label(edges: DataFrame, names: DataFrame, work: runtime.Workspace, most_roun
     for _ in range(most_rounds):
         heard = joined(both, labels.select(F.col("v").alias("x"), "l"), "x").groupBy(F.col("y").alias("v")).agg(F.min("l").alias("m"))
         met = labels.join(heard, "v").select("v", F.col("l").alias("was"), F.least("l", "m").alias("l"))
-        met = work.save(met.select("v", "was", "l", F.col("l.root").alias("p")))
+        met = met.select("v", "was", "l", F.col("l.root").alias("p"))
         jump = joined(met, labels.select(F.col("v").alias("p"), F.col("l").alias("far")), "p").select("v", "was", F.least("l", "far").alias("l"))
         after = work.save(jump)
         changed = not after.where("was <> l").isEmpty()
-        work.drop(met, kept)
+        work.drop(kept)
         labels, kept = after.select("v", "l"), after
         if not changed:
             break
