@@ -27,6 +27,17 @@ def test_walk_keeps_every_path(pedigree):
     assert sorted((r.depth, r.id) for r in graph.full_ancestors(pedigree, "id", ["mother_id", "father_id"], 4, max_depth=10).collect()) == sorted((r.depth, r.id) for r in rows)
 
 
+@pytest.mark.parametrize("depth", [None, 10])
+def test_large_graphs_walk_level_by_level(pedigree, monkeypatch, depth):
+    """Without the broadcast, the loop and the recursive statement give the same rows."""
+    args = (pedigree, "id", ["mother_id", "father_id"])
+    walked = sorted(tuple(r) for r in graph.full_ancestors(*args, 4, max_depth=depth).select("id", "depth", F.concat_ws(",", "path")).collect())
+    closed = sorted(tuple(r) for r in graph.closure(*args, max_depth=depth).collect())
+    monkeypatch.setattr(graph, "FEW", 0)
+    assert walked == sorted(tuple(r) for r in graph.full_ancestors(*args, 4, max_depth=depth).select("id", "depth", F.concat_ws(",", "path")).collect())
+    assert closed == sorted(tuple(r) for r in graph.closure(*args, max_depth=depth).collect())
+
+
 def test_closure_counts_paths_and_is_idempotent(spark):
     t = spark.createDataFrame([(1, None, None), (2, 1, None), (3, 1, None), (4, 2, 3)], "id int, mother_id int, father_id int")
     c = graph.closure(t, "id", ["mother_id", "father_id"]).cache()
