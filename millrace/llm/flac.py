@@ -487,7 +487,7 @@ def _decoded(media: list) -> list[dict]:
 def _decode(batches: Iterator[pa.RecordBatch], blocks: bool) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("first_sample", pa.int64()), ("n_samples", pa.int32()), ("byte_offset", pa.int64()), ("pcm", pa.binary())]))
     for b in batches:
-        for at, to, data, offsets in wordscan.slices(b.column("media"), 2 << 20):
+        for at, to, data, offsets in wordscan.slices(b.column("media"), 1 << 20):
             raw, valid = data.tobytes(), b.column("media").slice(at, to - at).is_valid().to_pylist()
             media = [raw[s:e] if ok else None for s, e, ok in zip(offsets[:-1].tolist(), offsets[1:].tolist(), valid, strict=True)]
             cols: list[list] = [[] for _ in range(7)]
