@@ -30,9 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace import runtime
-from millrace.llm import components, wordscan
+from millrace.llm import wordscan
+from millrace.operators import components
 
 _NO_ID = (1 << 63) - 1
+#: Bits of a set's parity map: each shingle flips one, so maps differ in at most as many bits as
+#: two sets differ in shingles.
+_BITS = 2048
+#: Keys that may be broadcast to fetch texts (under 100 bytes each); more are joined by a shuffle.
+_FEW = 200_000
 
 
 def _sets(text: pa.Array, shingle: int) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -93,11 +99,13 @@ def _prefixes(batches: Iterator[pa.RecordBatch], shingle: int, percent: int, ord
             prefix = [order.sort(s)[: len(s) + (-percent * len(s)) // 100 + 1] for s in sets]
             groups = [int.from_bytes(hashlib.blake2b(p.tobytes() + len(s).to_bytes(8, "big"), digest_size=8).digest(), "big", signed=True) for p, s in zip(prefix, sets, strict=True)]
             sizes = np.array([len(s) for s in sets], dtype=np.int64)
+            bits = np.packbits(np.stack([np.bincount((s & np.uint64(_BITS - 1)).astype(np.int64), minlength=_BITS) & 1 for s in sets]).astype(np.uint8), axis=1).view(np.int64)
+            bits = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * (_BITS // 64)), pa.array(bits.ravel()))
             flat = np.concatenate(prefix) if prefix else np.zeros(0, np.uint64)
             off = np.concatenate(([0], np.cumsum([len(p) for p in prefix]))).astype(np.int32)
             full = pa.RecordBatch.from_arrays(
-                [b.column("doc_id").slice(at, n), b.column("th").slice(at, n), pa.array(sizes), pa.array(sigs, pa.binary()), pa.array(groups, pa.int64()), pa.ListArray.from_arrays(pa.array(off), pa.array(flat.view(np.int64)))],
-                names=["doc_id", "th", "n", "sig", "pg", "prefix"],
+                [b.column("doc_id").slice(at, n), b.column("th").slice(at, n), pa.array(sizes), pa.array(sigs, pa.binary()), pa.array(groups, pa.int64()), pa.ListArray.from_arrays(pa.array(off), pa.array(flat.view(np.int64))), bits],
+                names=["doc_id", "th", "n", "sig", "pg", "prefix", "bits"],
             )
             yield full.filter(pa.array(sizes > 0))
 
@@ -130,9 +138,9 @@ def links_and_components(documents: DataFrame, *, shingle: int = 4, percent: int
     hot = rows.where("hot is not null").select(F.inline("hot")).groupBy("h").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "h").limit(hot_table).toArrow()
     order = spark.sparkContext.broadcast(Order(hot["h"].to_numpy().view(np.uint64), hot["c"].to_numpy()))
 
-    marked = work.save(docs.mapInArrow(lambda it: _prefixes(it, shingle, percent, order.value), "doc_id long, th long, n long, sig binary, pg long, prefix array<long>"))
+    marked = work.save(docs.mapInArrow(lambda it: _prefixes(it, shingle, percent, order.value), "doc_id long, th long, n long, sig binary, pg long, prefix array<long>, bits array<long>"))
     who = F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), "th")
-    classes = work.save(marked.groupBy("sig").agg(F.min(who).alias("rep"), F.first("pg").alias("pg"), F.first("n").alias("n")))
+    classes = work.save(marked.groupBy("sig").agg(F.min(who).alias("rep"), F.first("pg").alias("pg"), F.first("n").alias("n"), F.first("bits").alias("bits")))
     groups = work.save(marked.groupBy("pg").agg(F.first("n").cast("int").alias("n"), F.first("prefix").alias("prefix")))
     work.drop(marked)
 
@@ -140,50 +148,68 @@ def links_and_components(documents: DataFrame, *, shingle: int = 4, percent: int
     often_held = groups.select(F.explode("prefix").alias("token")).groupBy("token").count().where("count > 1").select(runtime.rekey("token").alias("token"))
     tokens = groups.select("pg", "n", F.posexplode("prefix").alias("pos", "t")).select(runtime.rekey("t").alias("token"), "pg", "n", "pos")
     shared = work.save(tokens.join(often_held, "token"))
-    nearest = F.shiftleft(F.col("pos").cast("long"), 32) + F.shiftrightunsigned("pg", 32)
-    buckets = shared.groupBy("token").agg(F.min_by("pg", nearest).alias("centre"), F.min_by("n", nearest).alias("cn"), F.min("pos").alias("cpos"))
-    buckets = buckets.select(runtime.rekey("token").alias("k"), "centre", "cn", "cpos")
+    place = F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("n").cast("long"))
+    buckets = shared.groupBy("token").agg(F.min_by("pg", place).alias("centre"), F.min(place).alias("first"))
+    buckets = buckets.select(runtime.rekey("token").alias("k"), "centre", F.shiftright("first", 32).cast("int").alias("cpos"), F.col("first").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("cn"))
     stars = shared.select(runtime.rekey("token").alias("k"), "pg", "n", "pos").join(buckets, "k")
     stars = stars.where("pg <> centre").where(_fits("n", "pos", "cn", "cpos", percent)).groupBy("pg", "centre").count().groupBy("pg").agg(F.max_by("centre", F.struct("count", "centre")).alias("centre"))
+    stars = components.joined(stars, groups.select("pg", "n", F.col("prefix").alias("a")), "pg")
+    stars = components.joined(stars, groups.select(F.col("pg").alias("centre"), F.col("n").alias("m"), F.col("prefix").alias("b")), "centre")
+    stars = stars.withColumn("common", F.array_intersect("a", "b")).withColumn("last", F.element_at("common", -1))
+    stars = stars.withColumns({"both": F.size("common"), "p": F.array_position("a", F.col("last")) - 1, "q": F.array_position("b", F.col("last")) - 1})
+    stars = stars.where(_reaches(percent)).select("pg", "centre")
 
     middle = classes.groupBy("pg").agg(F.min("sig").alias("y"), F.count("*").alias("m"))
     inner = components.joined(classes.select(F.col("sig").alias("x"), "pg"), middle.where("m > 1").select("pg", "y"), "pg").where("x <> y").select("x", "y")
     outer = stars.join(middle.select("pg", F.col("y").alias("x")), "pg")
     outer = components.joined(outer.drop("pg").withColumnRenamed("centre", "pg"), middle.select("pg", "y"), "pg").select("x", "y")
-    first = work.save(inner.union(outer))
+    first = inner.union(outer)
 
-    # Texts of the classes that any verification can ask for: one row a class.
-    asked = shared.select("pg").union(middle.where("m > 1").select("pg")).distinct()
-    want = classes.join(asked, "pg", "left_semi").select("sig", "rep.*")
     known = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(_NO_ID)))
-    texts = work.save(known.join(want, ["doc_id", "th"]).dropDuplicates(["sig"]).select("sig", "text"))
 
     def verify(pairs: DataFrame) -> DataFrame:
+        """Whether each pair of classes links; only the texts of classes in a pair are fetched, one a class."""
+        asked = pairs.select(F.col("x").alias("sig")).union(pairs.select(F.col("y").alias("sig"))).distinct()
+        want = work.save(components.joined(classes.select("sig", "rep"), asked, "sig").select("sig", "rep.*"))
+        keys = F.broadcast(want) if want.count() <= _FEW else want
+        texts = work.save(known.join(keys, ["doc_id", "th"]).dropDuplicates(["sig"]).select("sig", "text"))
         a = components.joined(pairs, texts.select(F.col("sig").alias("x"), F.col("text").alias("tx")), "x")
         b = components.joined(a, texts.select(F.col("sig").alias("y"), F.col("text").alias("ty")), "y")
-        return b.select("x", "y", "tx", "ty").mapInArrow(lambda it: _verified(it, shingle, percent), "x binary, y binary, ok boolean")
+        out = work.save(b.select("x", "y", "tx", "ty").mapInArrow(lambda it: _verified(it, shingle, percent), "x binary, y binary, ok boolean"))
+        work.drop(want, texts)
+        return out
+
+    def plausible(pairs: DataFrame) -> DataFrame:
+        """Pairs that their parity maps allow: sets that differ in too many bits cannot link."""
+        of = classes.select("sig", "n", "bits")
+        a = components.joined(pairs, of.toDF("x", "n", "a"), "x")
+        b = components.joined(a, of.toDF("y", "m", "b"), "y")
+        differ = F.aggregate(F.zip_with("a", "b", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, k: t + k)
+        return b.where((100 + percent) * (F.col("n") + F.col("m") - differ) >= 2 * percent * (F.col("n") + F.col("m"))).select("x", "y")
 
     names = classes.select(F.col("sig").alias("v"), F.col("rep.doc_id").alias("name"))
-    seen = work.save(verify(first))
+    seen = verify(work.save(plausible(first)))
     linked = work.save(components.label(seen.where("ok"), names, work))
 
     # What is left: pairs across components in buckets that hold several.
-    placed = work.save(components.joined(classes.select(F.col("sig").alias("v"), "pg"), linked.select("v", F.col("root")), "v"))
+    rooted = components.joined(classes.select(F.col("sig").alias("v"), "pg"), linked.select("v", "root"), "v")
+    placed = work.save(rooted.select("v", "pg", F.xxhash64("root").alias("root")))
     spread = placed.groupBy("pg").agg(F.min("root").alias("r0"), F.max("root").alias("r1"))
-    span = components.joined(shared.select("token", "pg", "n", "pos"), spread, "pg").groupBy("token").agg(F.min("r0").alias("r0"), F.max("r1").alias("r1")).where("r0 <> r1").select("token")
-    mixed = components.joined(shared.select("token", "pg", "n", "pos"), span, "token", "left_semi")
-    mixed = work.save(components.joined(mixed, placed, "pg").select("token", "n", "pos", "v", "root"))
-    major = mixed.groupBy("token", "root").count().groupBy("token").agg(F.max_by("root", F.struct("count", "root")).alias("major"))
-    minor = components.joined(mixed, major, "token").where("root <> major")
-    other = mixed.select("token", *[F.col(c).alias(f"o_{c}") for c in ("n", "pos", "v", "root")])
-    across = components.joined(minor, other, "token").where("root <> o_root and (o_root = major or v < o_v)").where(_fits("n", "pos", "o_n", "o_pos", percent))
+    rows_of = work.save(components.joined(shared, spread, "pg"))
+    span = rows_of.groupBy("token").agg(F.min("r0").alias("r0"), F.max("r1").alias("r1")).where("r0 <> r1").select(runtime.rekey("token").alias("k"))
+    open_ = rows_of.select(runtime.rekey("token").alias("k"), "pg", "n", "pos").join(span, "k", "left_semi")
+    mixed = work.save(components.joined(open_, placed, "pg").select("k", "n", "pos", "v", "root"))
+    major = mixed.groupBy("k", "root").count().groupBy("k").agg(F.max_by("root", F.struct("count", "root")).alias("major"))
+    minor = mixed.select(runtime.rekey("k").alias("t"), "n", "pos", "v", "root").join(major.select(runtime.rekey("k").alias("t"), "major"), "t").where("root <> major")
+    other = mixed.select(runtime.rekey("k").alias("t"), *[F.col(c).alias(f"o_{c}") for c in ("n", "pos", "v", "root")])
+    across = minor.join(other, "t").where("root <> o_root and (o_root = major or v < o_v)").where(_fits("n", "pos", "o_n", "o_pos", percent))
     inside = components.joined(placed, spread.where("r0 <> r1").select("pg"), "pg", "left_semi")
     inside = components.joined(inside.select("pg", "v", "root"), inside.select("pg", F.col("v").alias("o_v"), F.col("root").alias("o_root")), "pg").where("v < o_v and root <> o_root")
     second = across.select("v", "o_v").union(inside.select("v", "o_v")).select(F.least("v", "o_v").alias("x"), F.greatest("v", "o_v").alias("y")).distinct()
     tried = seen.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    second = work.save(second.join(tried, ["x", "y"], "left_anti"))
+    second = work.save(plausible(second.join(tried, ["x", "y"], "left_anti")))
     if not second.isEmpty():
-        more = work.save(verify(second)).where("ok").select("x", "y")
+        more = verify(second).where("ok").select("x", "y")
         linked = work.save(components.label(seen.where("ok").select("x", "y").union(more), names, work))
     least = linked.select(F.col("v").alias("sig"), F.nullif("name", F.lit(_NO_ID)).alias("component_id"))
     out = components.joined(rows.select("doc_id", "th", "sig", "n"), least, "sig", "left")
@@ -191,8 +217,15 @@ def links_and_components(documents: DataFrame, *, shingle: int = 4, percent: int
 
 
 def _fits(n: str, pos: str, m: str, qos: str, percent: int) -> F.Column:
-    """Length bound, and the positional bound: this shared token and at most what follows it on either side."""
+    """Length bound, and the positional bound if this is the first token that the two share.
+
+    A pair that links meets it at its first shared token, so a pair that meets it at none is out.
+    """
     a, b, p, q = F.col(n).cast("long"), F.col(m).cast("long"), F.col(pos).cast("long"), F.col(qos).cast("long")
-    low, high = F.least(a, b), F.greatest(a, b)
-    reach = F.least(a - p, b - q)
-    return (100 * low >= percent * high) & ((100 + percent) * (reach + F.least(p, q)) >= percent * (a + b))
+    return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & ((100 + percent) * F.least(a - p, b - q) >= percent * (a + b))
+
+
+def _reaches(percent: int) -> F.Column:
+    """Positional bound of a pair: its shared prefix tokens and at most all that follows the last one."""
+    rest = F.least(F.col("n") - F.col("p"), F.col("m") - F.col("q")) - 1
+    return (100 + percent) * (F.col("both") + rest) >= percent * (F.col("n").cast("long") + F.col("m"))

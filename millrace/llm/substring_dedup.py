@@ -31,7 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace import runtime
-from millrace.llm import components, wordscan
+from millrace.llm import wordscan
+from millrace.operators import components
 
 _NO_ID = (1 << 63) - 1
 _PLACE = np.uint64((1 << 26) - 1)
