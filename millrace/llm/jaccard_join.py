@@ -34,9 +34,6 @@ from millrace.llm import wordscan
 from millrace.operators import components
 
 _NO_ID = (1 << 63) - 1
-#: Bits of a set's parity map: each shingle flips one, so maps differ in at most as many bits as
-#: two sets differ in shingles.
-_BITS = 2048
 #: Keys that may be broadcast to fetch texts (under 100 bytes each); more are joined by a shuffle.
 _FEW = 200_000
 
@@ -91,6 +88,22 @@ class Order:
         return s if not count.any() else s[np.lexsort((s, count))]
 
 
+def _parity(s: np.ndarray) -> np.ndarray:
+    """A set's parity map as longs: each shingle flips one bit, so two maps differ in at most as
+    many bits as their sets differ in shingles. It has the power of two from twice the set's size
+    on; the halves' XOR is the map of half the size.
+    """
+    size = 1 << max(8, (2 * len(s) - 1).bit_length())
+    odd = np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _folded(c: F.Column, other: F.Column) -> F.Column:
+    """``c``, or its map of half the size if ``other`` has fewer words."""
+    half = F.shiftright(F.size(c), 1)
+    return F.when(F.size(c) > F.size(other), F.zip_with(F.slice(c, F.lit(1), half), F.slice(c, half + 1, half), lambda p, q: p.bitwiseXOR(q))).otherwise(c)
+
+
 def _prefixes(batches: Iterator[pa.RecordBatch], shingle: int, percent: int, order: Order) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for at, sets in _sets(b.column("text"), shingle):
@@ -99,8 +112,9 @@ def _prefixes(batches: Iterator[pa.RecordBatch], shingle: int, percent: int, ord
             prefix = [order.sort(s)[: len(s) + (-percent * len(s)) // 100 + 1] for s in sets]
             groups = [int.from_bytes(hashlib.blake2b(p.tobytes() + len(s).to_bytes(8, "big"), digest_size=8).digest(), "big", signed=True) for p, s in zip(prefix, sets, strict=True)]
             sizes = np.array([len(s) for s in sets], dtype=np.int64)
-            bits = np.packbits(np.stack([np.bincount((s & np.uint64(_BITS - 1)).astype(np.int64), minlength=_BITS) & 1 for s in sets]).astype(np.uint8), axis=1).view(np.int64)
-            bits = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * (_BITS // 64)), pa.array(bits.ravel()))
+            maps = [_parity(s) for s in sets]
+            cut = np.concatenate(([0], np.cumsum([len(m) for m in maps]))).astype(np.int32)
+            bits = pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate(maps) if maps else np.zeros(0, np.int64)))
             flat = np.concatenate(prefix) if prefix else np.zeros(0, np.uint64)
             off = np.concatenate(([0], np.cumsum([len(p) for p in prefix]))).astype(np.int32)
             full = pa.RecordBatch.from_arrays(
@@ -184,8 +198,10 @@ def links_and_components(documents: DataFrame, *, shingle: int = 4, percent: int
         of = classes.select("sig", "n", "bits")
         a = components.joined(pairs, of.toDF("x", "n", "a"), "x")
         b = components.joined(a, of.toDF("y", "m", "b"), "y")
+        b = b.select("x", "y", "n", "m", _folded(F.col("a"), F.col("b")).alias("a"), _folded(F.col("b"), F.col("a")).alias("b"))
         differ = F.aggregate(F.zip_with("a", "b", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, k: t + k)
-        return b.where((100 + percent) * (F.col("n") + F.col("m") - differ) >= 2 * percent * (F.col("n") + F.col("m"))).select("x", "y")
+        may = (100 + percent) * (F.col("n") + F.col("m") - differ) >= 2 * percent * (F.col("n") + F.col("m"))
+        return b.where((F.size("a") != F.size("b")) | may).select("x", "y")
 
     names = classes.select(F.col("sig").alias("v"), F.col("rep.doc_id").alias("name"))
     seen = verify(work.save(plausible(first)))
