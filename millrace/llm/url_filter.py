@@ -1,11 +1,14 @@
 """URL filter: host and path rules first, then trust and distrust propagated over the host graph.
 
 Hosts are vertices and links between pages of different hosts are edges, weighted by the number of
-links, with each host's out-weights summing to 1. Trusted seeds are hosts most of whose pages the
-rules allow, blocked seeds those most of whose pages they block. Trust is personalised PageRank
-from the trusted seeds along links; distrust is the same from the blocked seeds against them (who
-links to bad hosts is suspect). A page without a rule is blocked if its host's distrust exceeds its
-trust by more than ``margin``, and else allowed.
+links, with each host's out-weights summing to 1. Trusted seeds are all hosts of which the rules
+allow more pages than they block, blocked seeds those of which they block more; a seed's mass is
+that difference as a share of the host's pages, so it does not depend on how many pages a host has.
+Trust is personalised PageRank from the trusted seeds along links; distrust is the same from the
+blocked seeds against them (who links to bad hosts is suspect). A page without a rule is blocked if
+its host's distrust exceeds its trust by more than ``margin``, and else allowed. There, a blocked
+seed's own mass counts only if most of the host's pages are blocked: rules that block one path of a
+host have left its other pages alone, and what speaks against those has to come from other hosts.
 
 Everything is a DataFrame operation: edges and seeds are pre-aggregated before they are shuffled,
 rank steps are joins and sums, and tables are cut from lineage every few steps. Only blocked hosts
@@ -77,17 +80,19 @@ def judge(pages: DataFrame, *, rules: list[tuple[str, str, str]] = RULES, margin
     links = work.save(linked)
     judged = ruled.select("page_id", "host", "path", "rule", "by_rule")
     totals = judged.where("host <> ''").groupBy("host").agg(F.count("*").alias("n"), F.count_if(F.col("by_rule") == "allow").alias("good"), F.count_if(F.col("by_rule") == "block").alias("bad"))
-    totals = work.save(totals.where("2 * good > n or 2 * bad > n"))
+    totals = work.save(totals.where("good <> bad"))
 
     def spread(edges: DataFrame, seeds: DataFrame) -> DataFrame:
         out = edges.groupBy("src").agg(F.sum("n").alias("out"))
         shares = components.joined(edges, out, "src").select("src", "dst", (F.col("n") / F.col("out")).alias("share"))
-        count = seeds.count()
-        start = seeds.select("host", F.lit(1.0 / max(1, count)).alias("mass"))
-        return rank(work.save(shares), start, work, damping=damping) if count and not links.isEmpty() else start.select("host", (F.col("mass") * (1 - damping)).alias("score"))
-
-    trust = spread(links, totals.where("2 * good > n").select("host"))
-    distrust = spread(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"), totals.where("2 * bad > n").select("host"))
+        total = seeds.agg(F.sum("mass")).first()[0]
+        start = seeds.withColumn("mass", F.col("mass") / F.lit(total or 1.0))
+        found = rank(work.save(shares), start, work, damping=damping) if total and not links.isEmpty() else start.select("host", (F.col("mass") * (1 - damping)).alias("score"))
+        own = start.where("not most").select("host", (F.col("mass") * (damping - 1)).alias("score"))
+        return found.unionByName(own)
+
+    trust = spread(links, totals.where("good > bad").select("host", ((F.col("good") - F.col("bad")) / F.col("n")).alias("mass"), F.lit(True).alias("most")))
+    distrust = spread(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"), totals.where("bad > good").select("host", ((F.col("bad") - F.col("good")) / F.col("n")).alias("mass"), (2 * F.col("bad") > F.col("n")).alias("most")))
     scores = trust.select("host", F.col("score").alias("trust"), F.lit(0.0).alias("distrust")).unionByName(distrust.select("host", F.lit(0.0).alias("trust"), F.col("score").alias("distrust")))
     bad = scores.groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")).where(F.col("distrust") > F.col("trust") + margin)
     bad = work.save(bad)

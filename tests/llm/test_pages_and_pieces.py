@@ -71,6 +71,15 @@ def test_distrust_spreads_against_links(spark):
     assert got == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "block", 6: "allow"}
 
 
+def test_seeds_do_not_need_a_majority_of_a_hosts_pages(spark):
+    """A third of x.example.com's and of good.org's pages have a rule; both are seeds all the same."""
+    link = lambda h: f'<a href="https://{h}/p">x</a>'
+    rows = [(1, "http://x.example.com/de/1", ""), (2, "http://x.example.com/en/2", ""), (3, "http://x.example.com/en/3", ""), (4, "http://farm.com/", link("x.example.com"))]
+    rows += [(5, "http://good.org/fr/1", link("fine.com")), (6, "http://good.org/en/2", ""), (7, "http://good.org/en/3", ""), (8, "http://fine.com/", link("bad.net")), (9, "http://bad.net/", "")]
+    got = {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {i for i, v in got.items() if v == "block"} == {1, 4, 9}
+
+
 def test_rank_is_personalised_pagerank(spark):
     import numpy as np
 
