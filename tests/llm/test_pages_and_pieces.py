@@ -137,6 +137,19 @@ def test_pieces_round_trip(spark):
     assert all(len(r.n_best) <= 3 and r.n_best[0].ids_sha256 == sp.digest(r.ids) for r in got)
 
 
+def test_pipeline_near_duplicates_are_of_five_words(spark):
+    """One changed word of 50: 0.80 or more on five-word shingles, under 0.85 on four-word ones."""
+    import corpus_pipeline
+    from tests.llm.rows import frame
+    from tests.llm.test_documents import brute_components
+
+    base = [f"w{k}" for k in range(50)]
+    rows = [(1, " ".join(base)), (2, " ".join([*base[:25], "other", *base[26:]])), (3, " ".join([*base[:20], "a", *base[21:30], "b", *base[31:]])), (4, "alone")]
+    heads = {i for i, _, c in brute_components(rows, 5, 80) if i == c}
+    assert heads == {1, 3, 4} and {i for i, _, c in brute_components(rows) if i == c} == {1, 2, 3, 4}
+    assert {r.doc_id for r in corpus_pipeline.one_of_each_group(spark, frame(spark, rows), "").collect()} == heads
+
+
 @needs_model
 def test_pipeline(spark, small):
     """Stages against brute force on the smallest tables: what goes, what stays, what changes."""
