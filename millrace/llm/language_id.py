@@ -168,21 +168,21 @@ def detect(documents: DataFrame, *, folds: int = 5, **options) -> DataFrame:
     return identify(documents, train(known), folds=folds, **options)
 
 
-def _kept(batches: Iterator[pa.RecordBatch], at: int, model: tuple[list[str], np.ndarray], least: float, most: int, penalty: float, rounds: int) -> Iterator[pa.RecordBatch]:
+def _kept(batches: Iterator[pa.RecordBatch], at: int, model: tuple[list[str], np.ndarray], most: int, penalty: float, rounds: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         *own, letter = range(b.num_columns)
         none = pa.nulls(b.num_rows, pa.int64())
         judged = pa.RecordBatch.from_arrays([none, none, b.column(at).cast(pa.string()), b.column(letter)], names=["doc_id", "held_out", "text", "letter"])
         ok: list[bool] = []
         for r in _predict(iter([judged]), *model, most, penalty, rounds):
-            ok += [p != "und" and s >= least for p, s in zip(r.column("lang_pred").to_pylist(), r.column("score").to_pylist(), strict=True)]
+            ok += [p != "und" for p in r.column("lang_pred").to_pylist()]
         if not model[0]:
             ok = b.column(letter).to_pylist()
         yield pa.RecordBatch.from_arrays([b.column(i) for i in own], names=[b.schema.names[i] for i in own]).filter(pa.array(ok, pa.bool_()))
 
 
-def keep_identified(documents: DataFrame, *, folds: int = 5, least: float = 0.4, most: int = 4, penalty: float = 2.0, rounds: int = 8) -> DataFrame:
-    """``documents`` without those that are ``und`` or have no language with a share of ``least``.
+def keep_identified(documents: DataFrame, *, folds: int = 5, most: int = 4, penalty: float = 2.0, rounds: int = 8) -> DataFrame:
+    """``documents`` without those that are ``und``, however many languages the others mix.
 
     If no row is labelled nothing can be judged, and only texts without a letter go.
     """
@@ -192,4 +192,4 @@ def keep_identified(documents: DataFrame, *, folds: int = 5, least: float = 0.4,
     shared = spark.sparkContext.broadcast(train(known))
     at = documents.columns.index("text")
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return documents.select("*", letter.alias("_letter")).mapInArrow(lambda it: _kept(it, at, shared.value, least, most, penalty, rounds), documents.schema)
+    return documents.select("*", letter.alias("_letter")).mapInArrow(lambda it: _kept(it, at, shared.value, most, penalty, rounds), documents.schema)

@@ -178,6 +178,26 @@ def test_language_mixture(spark):
     assert language_id.detect(none).where("lang_pred <> 'und'").isEmpty() and language_id.keep_identified(none).count() == len(rows) - 3
 
 
+def _of_letters(languages):
+    """A row for each of ``languages`` alphabets to learn from, and a maker of texts with words of some of them."""
+    import random
+
+    r = random.Random(4)
+    alphabet = {f"l{k}": [chr(0x100 + 8 * k + j) for j in range(6)] for k in range(languages)}
+    text = lambda counts: " ".join("".join(r.choice(alphabet[f"l{k}"]) for _ in range(r.randint(3, 7))) for k, n in enumerate(counts) for _ in range(n))
+    ids = [i for i in range(40 * languages) if zlib.crc32(str(i).encode()) % 5]
+    rows = [(i, text([30 * (k == i % languages) for k in range(languages)]), f"l{i % languages}") for i in ids]
+    return rows, text
+
+
+def test_documents_of_many_languages_stay(spark):
+    rows, text = _of_letters(4)
+    mixed = [(1000, text([25] * 4), None), (1001, text([38, 32, 30, 0]), None), (1002, text([34, 33, 33, 0]), None), (1003, "12 ..", None)]
+    df = spark.createDataFrame(rows + mixed, "doc_id long, text string, lang string")
+    assert max(r.score for r in language_id.detect(df).where("doc_id >= 1000").collect()) < 0.4
+    assert {r.doc_id for r in language_id.keep_identified(df).where("doc_id >= 1000").collect()} == {1000, 1001, 1002}
+
+
 def test_flac_round_trip(spark, docs, rows):
     payloads = docs.select("doc_id", F.encode("text", "UTF-8").alias("payload"))
     got = flac.decode(flac.encode(payloads)).collect()
