@@ -9,7 +9,8 @@ Counting and look-up are one exchange. Documents are dealt into chunks; a chunk
 counts of its distinct n-grams, packed by key range into one binary piece a bucket, and adds how
 often its training documents hold them. A bucket sums the pieces of all chunks and answers each
 piece in place, so an answer needs no keys. Nothing that grows with the corpus is broadcast or
-reaches the driver: only N, V and a fixed-size histogram of count ratios for the weights. A
+reaches the driver: only N, V and a fixed-size histogram of count ratios for the weights, rounded
+to half powers of two on both sides of the uniform probability. A
 frequent n-gram costs one entry a chunk. Chunks and buckets grow with the corpus so that pieces
 stay few (``chunk_bytes`` and ``bucket_bytes`` are lower limits).
 
@@ -160,10 +161,19 @@ def _counts(c: Chunk, replies: pa.Table, buckets: int) -> tuple[np.ndarray, np.n
     return out[0], out[1]
 
 
-def _level(p: np.ndarray, unit: float) -> np.ndarray:
-    """0 for 0, else 1 + twice the rounded-off log2 of p / unit."""
+def _level(p: np.ndarray, unit: float, at: int) -> np.ndarray:
+    """0 for 0, else 1 + twice the rounded-off log2 of p / unit without its sign, as bits of a cell.
+
+    The size has the seven bits from 7 * ``at``; bit 20 + ``at`` is set for what is less than ``unit``.
+    """
     with np.errstate(divide="ignore"):
-        return np.where(p > 0, 1 + np.clip(np.rint(_STEPS * np.log2(p / unit)), 0, 126), 0).astype(np.int64)
+        steps = np.where(p > 0, np.rint(_STEPS * np.log2(p / unit)), 0)
+    size = np.where(p > 0, 1 + np.minimum(np.abs(steps), 126), 0).astype(np.int64)
+    return size << 7 * at | (steps < 0).astype(np.int64) << 20 + at
+
+
+def _cell(context: np.ndarray, p2: np.ndarray, p1: np.ndarray, unit: float) -> np.ndarray:
+    return _bucket(np.maximum(context, 0)) << 14 | _level(p2, unit, 1) | _level(p1, unit, 0)
 
 
 def _bucket(c: np.ndarray) -> np.ndarray:
@@ -187,7 +197,7 @@ def _ratios(docs: pa.Table, replies: pa.Table, buckets: int, n: int, v: int) ->
     others = np.maximum(n - c.size[c.doc], 1)
     unit = 1 / (v + 1)
     p2 = np.where(context > 0, pair / np.maximum(context, 1), 0.0)
-    cell = (_bucket(np.maximum(context, 0)) << 14) | (_level(p2, unit) << 7) | _level(token / others, unit)
+    cell = _cell(context, p2, token / others, unit)
     cells, k = np.unique(cell[use], return_counts=True)
     return pa.Table.from_arrays([pa.array(cells, pa.int64()), pa.array(k, pa.int64())], names=["cell", "n"])
 
@@ -195,10 +205,11 @@ def _ratios(docs: pa.Table, replies: pa.Table, buckets: int, n: int, v: int) ->
 def weights(cells: np.ndarray, counts: np.ndarray, rounds: int = 60) -> np.ndarray:
     """Mixture weights (uniform, unigram, bigram) of every context bucket, by EM."""
     out = np.tile(np.array([0.1, 0.9, 0.0]), (_BUCKETS, 1))
-    ratio = lambda q: np.where(q > 0, 2.0 ** ((q - 1) / _STEPS), 0.0)
-    for b in np.unique(cells >> 14):
-        mine = cells >> 14 == b
-        p = np.stack([np.ones(mine.sum()), ratio(cells[mine] & 127), ratio(cells[mine] >> 7 & 127)], axis=1)
+    ratio = lambda q, below: np.where(q > 0, 2.0 ** (np.where(below > 0, 1 - q, q - 1) / _STEPS), 0.0)
+    bucket = cells >> 14 & 63
+    for b in np.unique(bucket):
+        mine = bucket == b
+        p = np.stack([np.ones(mine.sum()), *[ratio(cells[mine] >> 7 * at & 127, cells[mine] >> 20 + at & 1) for at in (0, 1)]], axis=1)
         a = np.full(3, 1 / 3)
         for _ in range(rounds):
             share = a * p

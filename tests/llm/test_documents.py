@@ -153,6 +153,23 @@ def test_lm_weights_prefer_what_predicts():
     assert abs(a.sum() - 1) < 1e-9 and a[2] > 0.8
 
 
+def test_lm_weights_know_what_is_rarer_than_uniform():
+    """Tokens far below the uniform probability: EM on rounded ratios against EM on the ratios."""
+    import numpy as np
+
+    unit, n = 1 / 1000, np.array([40, 30, 20, 10])
+    context, p2, p1 = np.full(4, 30), np.array([0, 2.0**-6, 2.0**4, 0]) * unit, np.array([2.0**-9, 2.0**-5, 2.0**2, 2.0**3]) * unit
+    a, p = np.full(3, 1 / 3), np.stack([np.ones(4), p1 / unit, p2 / unit], axis=1)
+    for _ in range(60):
+        share = a * p
+        a = (share * (n / share.sum(axis=1))[:, None]).sum(axis=0) / n.sum()
+    got = lm_score.weights(lm_score._cell(context, p2, p1, unit), n)[4]
+    assert np.abs(got - a).max() < 1e-6
+    high = a
+    low = lm_score.weights(lm_score._cell(context, p2, np.maximum(p1, unit), unit), n)[4]
+    assert low[1] - high[1] > 0.05
+
+
 def test_language_mixture(spark):
     import random
 
