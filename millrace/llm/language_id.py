@@ -4,7 +4,8 @@ Each language has a multinomial model of letter trigrams (bytes of the lower-cas
 ends included, hashed to ``features`` bins), counted over all labelled training rows. A word's
 likelihood under a language is the product over its trigrams. For each document, expectation
 maximisation over its words estimates the proportions of all languages. The languages are then
-ranked by proportion, and of the nested sets with the best 1, 2, .. ``most`` of them the one with
+ranked by proportion, and of the nested sets with the best 1, 2, .. of them (all, unless ``most``
+bounds it) the one with
 the highest log-likelihood less ``penalty`` * log(words + 1) for each further language is chosen;
 its re-estimated proportions are the document's. Whole texts are read in slices that never cut a
 document. The model has features * languages numbers, whatever the corpus.
@@ -92,13 +93,13 @@ def _shares(likelihood: np.ndarray, first: np.ndarray, doc: np.ndarray, p: np.nd
     return p
 
 
-def _fit(likelihood: np.ndarray, top: np.ndarray, first: np.ndarray, doc: np.ndarray, most: int, penalty: float, rounds: int) -> np.ndarray:
+def _fit(likelihood: np.ndarray, top: np.ndarray, first: np.ndarray, doc: np.ndarray, most: int | None, penalty: float, rounds: int) -> np.ndarray:
     d, k = len(first) - 1, likelihood.shape[1]
     p = _shares(likelihood, first, doc, np.full((d, k), 1 / k), rounds)
     rank = np.argsort(np.argsort(-p, axis=1, kind="stable"), axis=1)
     busy = np.diff(first) > 0
     best, out = np.full(d, -np.inf), p
-    for m in range(1, min(most, k) + 1):
+    for m in range(1, min(most or k, k) + 1):
         q = np.where(rank < m, p + 1e-12, 0)
         q = _shares(likelihood, first, doc, q / q.sum(axis=1, keepdims=True), 3 if m > 1 else 0)
         fit = np.log(np.maximum((q[doc] * likelihood).sum(axis=1), 1e-300)) + top
@@ -110,7 +111,7 @@ def _fit(likelihood: np.ndarray, top: np.ndarray, first: np.ndarray, doc: np.nda
     return out
 
 
-def _predict(batches: Iterator[pa.RecordBatch], langs: list[str], model: np.ndarray, most: int, penalty: float, rounds: int) -> Iterator[pa.RecordBatch]:
+def _predict(batches: Iterator[pa.RecordBatch], langs: list[str], model: np.ndarray, most: int | None, penalty: float, rounds: int) -> Iterator[pa.RecordBatch]:
     names = np.array(langs, dtype=object)
     for b in batches:
         letter = b.column("letter").to_numpy(zero_copy_only=False).astype(bool)
@@ -148,7 +149,7 @@ def train(labelled: DataFrame, *, features: int = 1 << 16, smoothing: float = 0.
     return langs, np.log(c / c.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
-def identify(documents: DataFrame, model: tuple[list[str], np.ndarray], *, folds: int = 5, most: int = 4, penalty: float = 2.0, rounds: int = 8) -> DataFrame:
+def identify(documents: DataFrame, model: tuple[list[str], np.ndarray], *, folds: int = 5, most: int | None = None, penalty: float = 2.0, rounds: int = 8) -> DataFrame:
     """Every row: doc_id, held_out, lang_pred, score (the predicted language's share), languages."""
     spark = documents.sparkSession
     runtime.ship(spark)
@@ -168,7 +169,7 @@ def detect(documents: DataFrame, *, folds: int = 5, **options) -> DataFrame:
     return identify(documents, train(known), folds=folds, **options)
 
 
-def _kept(batches: Iterator[pa.RecordBatch], at: int, model: tuple[list[str], np.ndarray], most: int, penalty: float, rounds: int) -> Iterator[pa.RecordBatch]:
+def _kept(batches: Iterator[pa.RecordBatch], at: int, model: tuple[list[str], np.ndarray], most: int | None, penalty: float, rounds: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         *own, letter = range(b.num_columns)
         none = pa.nulls(b.num_rows, pa.int64())
@@ -181,7 +182,7 @@ def _kept(batches: Iterator[pa.RecordBatch], at: int, model: tuple[list[str], np
         yield pa.RecordBatch.from_arrays([b.column(i) for i in own], names=[b.schema.names[i] for i in own]).filter(pa.array(ok, pa.bool_()))
 
 
-def keep_identified(documents: DataFrame, *, folds: int = 5, most: int = 4, penalty: float = 2.0, rounds: int = 8) -> DataFrame:
+def keep_identified(documents: DataFrame, *, folds: int = 5, most: int | None = None, penalty: float = 2.0, rounds: int = 8) -> DataFrame:
     """``documents`` without those that are ``und``, however many languages the others mix.
 
     If no row is labelled nothing can be judged, and only texts without a letter go.

@@ -215,6 +215,14 @@ def test_documents_of_many_languages_stay(spark):
     assert {r.doc_id for r in language_id.keep_identified(df).where("doc_id >= 1000").collect()} == {1000, 1001, 1002}
 
 
+def test_documents_of_more_than_four_languages(spark):
+    rows, text = _of_letters(6)
+    df = spark.createDataFrame([*rows, (1000, text([30] * 6), None), (1001, text([40, 0, 0, 20, 0, 0]), None)], "doc_id long, text string, lang string")
+    got = {r.doc_id: {x.lang: x.share for x in r.languages} for r in language_id.detect(df).where("doc_id >= 1000").collect()}
+    assert set(got[1000]) == {f"l{k}" for k in range(6)} and all(abs(s - 1 / 6) < 0.05 for s in got[1000].values())
+    assert set(got[1001]) == {"l0", "l3"}
+
+
 def test_flac_round_trip(spark, docs, rows):
     payloads = docs.select("doc_id", F.encode("text", "UTF-8").alias("payload"))
     got = flac.decode(flac.encode(payloads)).collect()
