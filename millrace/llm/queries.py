@@ -66,7 +66,7 @@ def op4_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sentencepiece_nbest.decode(sentencepiece_nbest.encode(_table(spark, sf_dir, "documents")))
+    rows = sentencepiece_nbest.round_trip(_table(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.col("n_best")[0]["ids_sha256"].alias("ids_sha256"), "score", "n_best", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -7,8 +7,9 @@ the end pops complete segmentations best first, and the first N pops are the N b
 No piece holds a space after another character, so the lattice of a text is a chain of segments
 (spaces and the word after them); its best segmentation joins the segments' best, and its N best
 need only the N - 1 segments whose second-best path costs least. That cost is exact without a
-search: the best path through any edge off the best one. Viterbi runs over the distinct segments
-of a slice of texts at once, a character a step; A* runs over the few segments that need it.
+search: the best path through any edge off the best one. Viterbi runs over many distinct segments
+at once, a character a step, at most ``_BLOCK`` characters of them (or one longer segment) at a
+time; a worker remembers solved segments up to a bound. A* runs over the few that need it.
 
 Piece scores are taken as log probabilities, as the model file has them. Characters without a
 piece cost ``unknown`` below the least score and become byte pieces. Decoding is exact: every text
@@ -22,10 +23,12 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import os
 import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +37,12 @@ from pyspark.sql import DataFrame
 from millrace import runtime
 from millrace.llm import wordscan
 
-#: Where the public vocabulary files are unless a path is given.
-MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: The model file unless a path is given.
+MODEL = os.environ.get("MILLRACE_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 _MARK = "▁"
-_KEEP = 20_000
+#: Bounds of memory: alternatives and characters of solved segments that a worker remembers,
+#: characters whose lattices are solved at once, bytes of texts that are encoded at once.
+_KEEP, _KNOWN, _BLOCK, _SLICE = 20_000, 1 << 20, 1 << 16, 1 << 18
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -308,15 +313,43 @@ def _expanded(v: Vocabulary, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Encoder:
-    """Encodes lists of texts; each distinct segment of a list has its lattice solved once."""
+    """Encodes lists of texts; a segment has its lattice solved once while it is remembered."""
 
     def __init__(self, v: Vocabulary):
         self.v, self.split, self.table = v, v.splitter().findall, Table(v)
         self._ways: dict[tuple[str, int], list] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.segments: list[str] = []
+        self.held = 0
+        self.score, self.loss, self.first, self.ids = np.zeros(0), np.zeros(0), np.zeros(1, np.int64), np.zeros(0, np.int32)
+
+    def _learn(self) -> None:
+        """Solve the segments that were met since the last call."""
+        segments = list(islice(self.number, len(self.segments), None))
+        parts, at = [], 0
+        while at < len(segments):
+            to, size = at, 0
+            while to < len(segments) and (to == at or size + len(segments[to]) <= _BLOCK):
+                size += len(segments[to])
+                to += 1
+            parts.append(Paths(self.v, self.table, segments[at:to]))
+            self.held += size
+            at = to
+        self.segments += segments
+        self.score = np.concatenate([self.score, *[p.score for p in parts]])
+        self.loss = np.concatenate([self.loss, *[p.loss for p in parts]])
+        base = np.cumsum([self.first[-1], *[p.first[-1] for p in parts]])
+        self.first = np.concatenate([self.first, *[p.first[1:] + b for p, b in zip(parts, base[:-1], strict=True)]])
+        self.ids = np.concatenate([self.ids, *[p.ids for p in parts]])
 
     def encode(self, texts: list[str], n: int = 1) -> list[list[tuple[float, np.ndarray]]]:
         """Of each text, its ``n`` best (score, ids), best first."""
-        number: dict[str, int] = {}
+        if self.held > _KNOWN:
+            self._forget()
+        number = self.number
         add, lead = number.setdefault, " " if self.v.prefix else ""
         flat: list[int] = []
         bounds = [0]
@@ -326,18 +359,17 @@ class Encoder:
             bounds.append(len(flat))
         if not flat:
             return [[(0.0, np.zeros(0, np.int32))] for _ in texts]
-        segments = list(number)
-        paths = Paths(self.v, self.table, segments)
+        self._learn()
         which = np.array(flat, dtype=np.int64)
-        size = np.diff(paths.first)[which]
+        size = np.diff(self.first)[which]
         start = np.concatenate(([0], np.cumsum(size)))
-        ids = paths.ids[np.arange(start[-1]) + np.repeat(paths.first[which] - start[:-1], size)]
-        score, loss = paths.score[which], paths.loss[which]
+        ids = self.ids[np.arange(start[-1]) + np.repeat(self.first[which] - start[:-1], size)]
+        score, loss = self.score[which], self.loss[which]
         out = []
         for a, z in zip(bounds[:-1], bounds[1:], strict=True):
             found = [(float(score[a:z].sum()), ids[start[a] : start[z]])]
             if n > 1 and z > a:
-                found += self._others(segments, which[a:z], loss[a:z], start[a : z + 1] - start[a], found[0], n - 1)
+                found += self._others(self.segments, which[a:z], loss[a:z], start[a : z + 1] - start[a], found[0], n - 1)
             out.append(found)
         return out
 
@@ -379,44 +411,68 @@ class Encoder:
         return self._ways[key]
 
 
-def _encode(batches: Iterator[pa.RecordBatch], v: Vocabulary, n: int) -> Iterator[pa.RecordBatch]:
-    encoder = Encoder(v)
+def digest(ids) -> str:
+    """SHA-256 of ids as little-endian 32-bit numbers."""
+    return hashlib.sha256(np.asarray(ids, dtype="<i4").tobytes()).hexdigest()
+
+
+def _rows(batches: Iterator[pa.RecordBatch], v: Vocabulary, n: int, decoded: bool) -> Iterator[pa.RecordBatch]:
+    encoder, decoder = Encoder(v), Decoder(v)
     kind = pa.list_(pa.struct([("score", pa.float64()), ("ids_sha256", pa.string())]))
     for b in batches:
-        for at, to, _, _ in wordscan.slices(b.column("text")):
+        for at, to, _, _ in wordscan.slices(b.column("text"), _SLICE):
             found = encoder.encode([x or "" for x in b.column("text").slice(at, to - at).to_pylist()], n)
             ids = [paths[0][1] for paths in found]
             scores = [paths[0][0] for paths in found]
             best = [[{"score": s, "ids_sha256": digest(i)} for s, i in paths] for paths in found]
             off = np.cumsum([0, *map(len, ids)]).astype(np.int32)
             flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, to - at), pa.ListArray.from_arrays(pa.array(off), pa.array(flat)), pa.array(scores, pa.float64()), pa.array(best, kind)], names=["doc_id", "ids", "score", "n_best"])
+            columns = {"doc_id": b.column("doc_id").slice(at, to - at), "ids": pa.ListArray.from_arrays(pa.array(off), pa.array(flat)), "score": pa.array(scores, pa.float64()), "n_best": pa.array(best, kind)}
+            if decoded:
+                columns["decoded"] = pa.array([decoder.text(i) for i in ids], pa.string())
+            yield pa.RecordBatch.from_pydict(columns)
 
 
-def digest(ids) -> str:
-    """SHA-256 of ids as little-endian 32-bit numbers."""
-    return hashlib.sha256(np.asarray(ids, dtype="<i4").tobytes()).hexdigest()
+class Decoder:
+    """Texts from the pieces' ids."""
+
+    def __init__(self, v: Vocabulary):
+        value = {i: b for b, i in v.byte_id.items()}
+        self.prefix = v.prefix
+        self.pieces = [bytes([value[i]]) if i in value else name.replace(_MARK, " ").encode() for i, name in enumerate(v.names)]
+
+    def text(self, ids: np.ndarray) -> str:
+        x = b"".join(map(self.pieces.__getitem__, ids.tolist()))
+        return (x[1:] if self.prefix and x[:1] == b" " else x).decode(errors="replace")
 
 
 def _decode(batches: Iterator[pa.RecordBatch], v: Vocabulary) -> Iterator[pa.RecordBatch]:
-    value = {i: b for b, i in v.byte_id.items()}
-    pieces = [bytes([value[i]]) if i in value else name.replace(_MARK, " ").encode() for i, name in enumerate(v.names)]
+    decoder = Decoder(v)
     for b in batches:
         ids = b.column("ids")
-        text = []
-        for row in range(b.num_rows):
-            x = b"".join([pieces[i] for i in ids[row].values.to_pylist()]) if ids[row].is_valid else b""
-            text.append((x[1:] if v.prefix and x[:1] == b" " else x).decode(errors="replace"))
+        text = [decoder.text(ids[row].values.to_numpy()) if ids[row].is_valid else "" for row in range(b.num_rows)]
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array(text, pa.string())], names=[*b.schema.names, "decoded"])
 
 
-def encode(documents: DataFrame, *, model: str = MODEL, n: int = 3) -> DataFrame:
-    """Every row: doc_id, ids (the best segmentation), score, n_best (score and digest of the ``n`` best)."""
+_ENCODED = "doc_id long, ids array<int>, score double, n_best array<struct<score: double, ids_sha256: string>>"
+
+
+def _over(documents: DataFrame, model: str, n: int, decoded: bool) -> DataFrame:
     spark = documents.sparkSession
     runtime.ship(spark)
     v = spark.sparkContext.broadcast(Vocabulary.load(model))
     docs = runtime.pick(documents, doc_id="long", text="string")
-    return docs.mapInArrow(lambda it: _encode(it, v.value, n), "doc_id long, ids array<int>, score double, n_best array<struct<score: double, ids_sha256: string>>")
+    return docs.mapInArrow(lambda it: _rows(it, v.value, n, decoded), _ENCODED + ", decoded string" * decoded)
+
+
+def encode(documents: DataFrame, *, model: str = MODEL, n: int = 3) -> DataFrame:
+    """Every row: doc_id, ids (the best segmentation), score, n_best (score and digest of the ``n`` best)."""
+    return _over(documents, model, n, False)
+
+
+def round_trip(documents: DataFrame, *, model: str = MODEL, n: int = 3) -> DataFrame:
+    """``decode(encode(documents))`` in one pass of one worker: ``decoded`` comes from the encoded ids alone."""
+    return _over(documents, model, n, True)
 
 
 def decode(encoded: DataFrame, *, model: str = MODEL) -> DataFrame:
@@ -424,5 +480,4 @@ def decode(encoded: DataFrame, *, model: str = MODEL) -> DataFrame:
     spark = encoded.sparkSession
     runtime.ship(spark)
     v = spark.sparkContext.broadcast(Vocabulary.load(model))
-    kind = "doc_id long, ids array<int>, score double, n_best array<struct<score: double, ids_sha256: string>>"
-    return encoded.select("doc_id", "ids", "score", "n_best").mapInArrow(lambda it: _decode(it, v.value), kind + ", decoded string")
+    return encoded.select("doc_id", "ids", "score", "n_best").mapInArrow(lambda it: _decode(it, v.value), _ENCODED + ", decoded string")

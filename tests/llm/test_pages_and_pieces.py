@@ -137,6 +137,25 @@ def test_pieces_round_trip(spark):
     assert all(len(r.n_best) <= 3 and r.n_best[0].ids_sha256 == sp.digest(r.ids) for r in got)
 
 
+@needs_model
+def test_pieces_under_small_bounds(spark, monkeypatch):
+    """What a worker forgets, and how many lattices are solved at once, changes nothing; nor does the round trip in one pass."""
+    import pyarrow as pa
+
+    texts = [f"word{i % 7} the {'x' * (i % 5)} end{i}  é😀 {i * 37}" for i in range(60)] + ["", None, "long" * 300]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts)})
+    v = sp.Vocabulary.load(sp.MODEL)
+    whole = [r for b in sp._rows(iter([batch]), v, 3, True) for r in b.to_pylist()]
+    for name, value in (("_KNOWN", 40), ("_BLOCK", 25), ("_SLICE", 100)):
+        monkeypatch.setattr(sp, name, value)
+    assert [r for b in sp._rows(iter([batch]), v, 3, True) for r in b.to_pylist()] == whole
+    assert [r["decoded"] for r in whole] == [t or "" for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    plain = lambda rows: sorted((r.asDict(True) for r in rows.collect()), key=lambda r: r["doc_id"])
+    assert plain(sp.round_trip(df)) == plain(sp.decode(sp.encode(df)))
+    assert sp.round_trip(df.limit(0)).count() == 0
+
+
 def test_pipeline_near_duplicates_are_of_five_words(spark):
     """One changed word of 50: 0.80 or more on five-word shingles, under 0.85 on four-word ones."""
     import corpus_pipeline
