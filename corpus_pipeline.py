@@ -45,7 +45,7 @@ def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with the digest of what they decode to."""
-    rows = sentencepiece_nbest.decode(sentencepiece_nbest.encode(docs))
+    rows = sentencepiece_nbest.round_trip(docs)
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "score", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
