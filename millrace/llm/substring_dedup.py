@@ -9,11 +9,13 @@ so each level works on what the level before it let through:
   stands for the window (ties: the leftmost). Equal target windows choose the same run, so a
   window whose run occurs in one document only cannot repeat. About 2 in (window - first + 2)
   positions are kept, and no repeat is lost.
-* Next levels: the windows of twice the length around surviving runs, hashed to 128 bits,
+* Next levels: the windows of twice the length around surviving runs, hashed to 96 bits,
   grouped before the shuffle; those that start in a document with a smaller doc_id survive.
 
 Documents that hold a candidate are written once to the shared folder and read again for the
-next level and for cutting; the others never leave their scan.
+next level and for cutting; the others are exchanged once, to learn that they hold none. What is
+exchanged by hash is narrow (hash, doc_id, and 38 bits of the text's hash packed with a place), and
+each step's result is written before the next begins, so that one exchange's files exist at a time.
 
 Defined cases: a null text has no words; texts shorter than the window lose nothing; a null
 doc_id is larger than any other; rows that repeat an id are judged one by one and never remove
@@ -35,7 +37,10 @@ from millrace.llm import wordscan
 from millrace.operators import components
 
 _NO_ID = (1 << 63) - 1
-_PLACE = np.uint64((1 << 26) - 1)
+_BITS = 26
+_PLACE = np.uint64((1 << _BITS) - 1)
+#: Which of the texts of one doc_id is meant, beside a place: 38 bits of the text's hash.
+_TAG = (1 << 64 - _BITS) - 1
 
 
 def levels(window: int, first: int | None = None) -> list[int]:
@@ -104,7 +109,7 @@ def _joined(w: wordscan.Words, at: np.ndarray) -> bytes:
 
 
 def _windows(batches: Iterator[pa.RecordBatch], window: int, first: int, length: int) -> Iterator[pa.RecordBatch]:
-    """Windows of ``length`` words that hold a target window's surviving run: 128-bit hash and place."""
+    """Windows of ``length`` words that hold a target window's surviving run: 96-bit hash and tagged place."""
     for b in batches:
         places = b.column("places")
         for at, to, data, offsets in wordscan.slices(b.column("text")):
@@ -126,19 +131,19 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int, first: int, length:
                 np.add.at(on, s + window - length + 1, -1)
                 starts = np.flatnonzero(np.cumsum(on[:-1]) > 0)
             doc = w.doc[starts]
+            tag = b.column("th").slice(at, n).to_numpy() << _BITS
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(wordscan.grams(w.hash, length, 1)[starts].view(np.int64)),
-                    pa.array(wordscan.grams(w.hash, length, 2)[starts].view(np.int64)),
+                    pa.array((wordscan.grams(w.hash, length, 2)[starts] >> np.uint64(32)).astype(np.uint32).view(np.int32)),
                     b.column("doc_id").slice(at, n).take(pa.array(doc)),
-                    b.column("th").slice(at, n).take(pa.array(doc)),
-                    pa.array((starts - w.first[doc]).astype(np.int32)),
+                    pa.array(tag[doc] | (starts - w.first[doc])),
                 ],
-                names=["h", "g", "doc_id", "th", "at"],
+                names=["h", "g", "doc_id", "p"],
             )
 
 
-def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], window: int, keep_text: bool) -> Iterator[pa.RecordBatch]:
     for b in batches:
         starts = b.column("starts")
         for at, to, data, offsets in wordscan.slices(b.column("text")):
@@ -154,19 +159,20 @@ def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBa
                 removed.append(int(gone.sum()))
                 text = _joined(w, w.first[d] + np.flatnonzero(~gone))
                 kept.append(hashlib.sha256(text).hexdigest())
-                texts.append(text.decode())
+                texts.append(text.decode() if keep_text else None)
             n = to - at
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").slice(at, n), b.column("th").slice(at, n), pa.array(removed, pa.int64()), pa.array(kept), pa.array(texts)],
+                [b.column("doc_id").slice(at, n), b.column("th").slice(at, n), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), pa.array(texts, pa.string())],
                 names=["doc_id", "th", "n_removed", "kept_sha256", "kept_text"],
             )
 
 
-def repeated_windows(documents: DataFrame, *, window: int = 50, first: int | None = None) -> tuple[DataFrame, DataFrame, runtime.Workspace]:
+def repeated_windows(documents: DataFrame, *, window: int = 50, first: int | None = None, keep_text: bool = True) -> tuple[DataFrame, DataFrame, runtime.Workspace]:
     """(rows, cut): every row with its words counted, and the texts that repeat an earlier document.
 
     rows: doc_id, th (xxhash64 of the text), n_words, whole_sha256, first_id (the class's smallest
-    doc_id). cut: doc_id, th, n_removed, kept_sha256, kept_text, one a class that loses words.
+    doc_id). cut: doc_id, th, n_removed, kept_sha256, kept_text (null unless asked for), one a class
+    that loses words.
     """
     spark = documents.sparkSession
     runtime.ship(spark)
@@ -176,37 +182,40 @@ def repeated_windows(documents: DataFrame, *, window: int = 50, first: int | Non
     docs = runtime.pick(documents, doc_id="long", text="string").where("text is not null").select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), "text", F.xxhash64("text", F.lit(0)).alias("th"))
     scanned = work.save(docs.mapInArrow(lambda it: _scan(it, window, base), "doc_id long, th long, n_words long, whole_sha256 string, runs array<long>"))
 
-    # One class for each text: by its hash and the hash of its words.
+    # One class for each text: by its hash and the hash of its words. Only its first document keeps the runs.
     classes = scanned.groupBy("th", "whole_sha256").agg(F.min("doc_id").alias("first_id"))
-    rows = work.save(_by_class(scanned.drop("runs"), classes))
-    heads = scanned.where(F.size("runs") > 0)
-    ids = heads.select(F.explode("runs").alias("h"), "doc_id").groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h")
-    one = _by_class(heads.select("doc_id", "th", "whole_sha256", "runs"), classes).where("doc_id = first_id").dropDuplicates(["doc_id", "th"])
-    hits = components.joined(one.select("doc_id", "th", F.posexplode("runs").alias("place", "h")), ids, "h", "left_semi")
-    alive = hits.groupBy("doc_id", "th").agg(F.collect_list("place").alias("places"))
-    held = work.save(docs.join(alive, ["doc_id", "th"]).dropDuplicates(["doc_id", "th"]))
+    classed = components.joined(scanned, classes.select("th", F.col("whole_sha256").alias("_w"), "first_id"), "th").where("whole_sha256 = _w").drop("_w")
+    rows = work.save(classed.withColumn("runs", F.when(F.col("doc_id") == F.col("first_id"), F.col("runs"))))
+    work.drop(scanned)
+    heads = rows.where(F.size("runs") > 0)
+    ids = work.save(heads.select(F.explode("runs").alias("h"), "doc_id").groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h"))
+    places = heads.select("doc_id", "th", F.posexplode("runs").alias("place", "h")).select("h", "doc_id", F.shiftleft("th", _BITS).bitwiseOR(F.col("place").cast("long")).alias("p"))
+    alive = work.save(_by_text(components.joined(places, ids, "h", "left_semi"), "places"))
+    work.drop(ids)
+    tagged = docs.withColumn("tag", F.col("th").bitwiseAND(F.lit(_TAG)))
+    held = work.save(tagged.join(alive, ["doc_id", "tag"]).dropDuplicates(["doc_id", "tag", "th"]))
+    work.drop(alive)
 
     for length in steps[1:] or steps:
-        found = held.mapInArrow(lambda it, n=length: _windows(it, window, base, n), "h long, g long, doc_id long, th long, at int")
-        least = found.groupBy("h", "g").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
+        found = held.mapInArrow(lambda it, n=length: _windows(it, window, base, n), "h long, g int, doc_id long, p long")
+        least = work.save(found.groupBy("h", "g").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h", F.col("g").alias("g2"), "lo"))
+        again = components.joined(found, least, "h").where("g = g2")
         if length == window:
-            starts = components.joined(found, least.select("h", F.col("g").alias("g2"), "lo"), "h").where("g = g2 and lo < doc_id")
-            starts = starts.groupBy("doc_id", "th").agg(F.collect_list("at").alias("starts"))
-            cut = held.select("doc_id", "th", "text").join(starts, ["doc_id", "th"])
-            return rows, cut.mapInArrow(lambda it: _cut(it, window), "doc_id long, th long, n_removed long, kept_sha256 string, kept_text string"), work
-        held = work.save(_narrowed(held, found, least, window, base, length))
+            starts = work.save(_by_text(again.where("lo < doc_id").select("doc_id", "p"), "starts"))
+            work.drop(least)
+            cut = held.select("doc_id", "tag", "th", "text").join(starts, ["doc_id", "tag"])
+            return rows.drop("runs"), cut.mapInArrow(lambda it: _cut(it, window, keep_text), "doc_id long, th long, n_removed long, kept_sha256 string, kept_text string"), work
+        still = work.save(_by_text(again.select("doc_id", "p"), "on"))
+        narrowed = work.save(held.join(still, ["doc_id", "tag"]).mapInArrow(lambda it, n=length: _still(it, window, base, n), "doc_id long, tag long, th long, text string, places array<int>").where(F.size("places") > 0))
+        work.drop(least, still, held)
+        held = narrowed
     raise AssertionError("the last level is the window")
 
 
-def _by_class(frame: DataFrame, classes: DataFrame) -> DataFrame:
-    return components.joined(frame, classes.select("th", F.col("whole_sha256").alias("_w"), "first_id"), "th").where("whole_sha256 = _w").drop("_w")
-
-
-def _narrowed(held: DataFrame, found: DataFrame, least: DataFrame, window: int, base: int, length: int) -> DataFrame:
-    """Keep the runs inside windows of ``length`` words that still repeat, and the texts that keep any."""
-    on = components.joined(found, least.select("h", F.col("g").alias("g2")), "h").where("g = g2").groupBy("doc_id", "th").agg(F.collect_set("at").alias("on"))
-    still = held.join(on, ["doc_id", "th"]).mapInArrow(lambda it: _still(it, window, base, length), "doc_id long, th long, text string, places array<int>")
-    return still.where(F.size("places") > 0)
+def _by_text(found: DataFrame, name: str) -> DataFrame:
+    """Tagged places (doc_id, p) as one row a text: doc_id, tag, and its distinct places."""
+    place, tag = F.col("p").bitwiseAND(F.lit((1 << _BITS) - 1)).cast("int"), F.shiftrightunsigned("p", _BITS)
+    return found.groupBy("doc_id", tag.alias("tag")).agg(F.collect_set(place).alias(name))
 
 
 def _still(batches: Iterator[pa.RecordBatch], window: int, base: int, length: int) -> Iterator[pa.RecordBatch]:
@@ -228,12 +237,13 @@ def _still(batches: Iterator[pa.RecordBatch], window: int, base: int, length: in
                 was = b.column("places")[at + d].values.to_numpy()
                 out.append(np.intersect1d(was, np.searchsorted(runs, np.unique(chosen[mine][alive]))).astype(np.int32))
             n = to - at
-            yield pa.RecordBatch.from_arrays([b.column(c).slice(at, n) for c in ("doc_id", "th", "text")] + [pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "th", "text", "places"])
+            kept = ["doc_id", "tag", "th", "text"]
+            yield pa.RecordBatch.from_arrays([b.column(c).slice(at, n) for c in kept] + [pa.array(out, pa.list_(pa.int32()))], names=[*kept, "places"])
 
 
 def dedup(documents: DataFrame, *, window: int = 50, first: int | None = None, keep_text: bool = False) -> DataFrame:
     """Every row: doc_id, n_words, n_removed, kept_sha256 (and kept_text where words were removed)."""
-    rows, cut, _ = repeated_windows(documents, window=window, first=first)
+    rows, cut, _ = repeated_windows(documents, window=window, first=first, keep_text=keep_text)
     text = ["kept_text"] if keep_text else []
     cut = cut.select("th", F.col("doc_id").alias("first_id"), "n_removed", "kept_sha256", *text)
     out = _left(rows, cut)
