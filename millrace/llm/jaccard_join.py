@@ -9,9 +9,11 @@
    fewest rarer tokens, and members against their group's own centre. Linked classes merge into
    components. A bucket whose members are now in one component holds nothing more to find, so a
    large family of copies costs one pair a member instead of all pairs.
-5. In buckets that still hold several components, all pairs across components are verified,
-   each between a member outside the bucket's largest component and the others. So every pair
-   that may link is verified or already connected: components are exact.
+5. In buckets that still hold several components, groups are paired across components, each
+   between a group outside the bucket's commonest component and the others. The tokens that two
+   groups share are counted; only group pairs that count, length and positions allow are expanded
+   to members and verified. So every pair that may link is verified or already connected:
+   components are exact.
 
 Verification compares whole sets. Defined cases: a null or wordless text has an empty set and
 links with nothing; a text shorter than a shingle is one shingle; rows that repeat are one class
@@ -212,13 +214,13 @@ def links_and_components(documents: DataFrame, *, shingle: int = 4, percent: int
     placed = work.save(rooted.select("v", "pg", F.xxhash64("root").alias("root")))
     spread = placed.groupBy("pg").agg(F.min("root").alias("r0"), F.max("root").alias("r1"))
     rows_of = work.save(components.joined(shared, spread, "pg"))
+    work.drop(shared)
     span = rows_of.groupBy("token").agg(F.min("r0").alias("r0"), F.max("r1").alias("r1")).where("r0 <> r1").select(runtime.rekey("token").alias("k"))
-    open_ = rows_of.select(runtime.rekey("token").alias("k"), "pg", "n", "pos").join(span, "k", "left_semi")
-    mixed = work.save(components.joined(open_, placed, "pg").select("k", "n", "pos", "v", "root"))
-    major = mixed.groupBy("k", "root").count().groupBy("k").agg(F.max_by("root", F.struct("count", "root")).alias("major"))
-    minor = mixed.select(runtime.rekey("k").alias("t"), "n", "pos", "v", "root").join(major.select(runtime.rekey("k").alias("t"), "major"), "t").where("root <> major")
-    other = mixed.select(runtime.rekey("k").alias("t"), *[F.col(c).alias(f"o_{c}") for c in ("n", "pos", "v", "root")])
-    across = minor.join(other, "t").where("root <> o_root and (o_root = major or v < o_v)").where(_fits("n", "pos", "o_n", "o_pos", percent))
+    mixed = work.save(rows_of.select(runtime.rekey("token").alias("k"), "pg", "n", "pos", "r0", "r1").join(span, "k", "left_semi"))
+    work.drop(rows_of)
+    across = _group_pairs(mixed, percent)
+    across = components.joined(across, placed, "pg").select("v", "root", F.col("o_pg").alias("pg"))
+    across = components.joined(across, placed.select("pg", F.col("v").alias("o_v"), F.col("root").alias("o_root")), "pg").where("root <> o_root")
     inside = components.joined(placed, spread.where("r0 <> r1").select("pg"), "pg", "left_semi")
     inside = components.joined(inside.select("pg", "v", "root"), inside.select("pg", F.col("v").alias("o_v"), F.col("root").alias("o_root")), "pg").where("v < o_v and root <> o_root")
     second = across.select("v", "o_v").union(inside.select("v", "o_v")).select(F.least("v", "o_v").alias("x"), F.greatest("v", "o_v").alias("y")).distinct()
@@ -232,6 +234,36 @@ def links_and_components(documents: DataFrame, *, shingle: int = 4, percent: int
     return out.select("doc_id", "th", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def _group_pairs(mixed: DataFrame, percent: int) -> DataFrame:
+    """(pg, o_pg), once each: groups whose shared prefix tokens allow a link across components.
+
+    mixed: (k, pg, n, pos, r0, r1), a row for each prefix token of a group, with the least and
+    greatest root of its members. A bucket's groups that lie whole in its commonest component are
+    not paired with each other; any two groups with members in different components meet at every
+    token that they share, so their tokens can be counted before members are expanded.
+    """
+    major = mixed.where("r0 = r1").groupBy("k", "r0").count().groupBy("k").agg(F.max_by("r0", F.struct("count", "r0")).alias("major"))
+    sides = components.joined(mixed, major, "k", "left").withColumn("minor", ~F.coalesce((F.col("r0") == F.col("r1")) & (F.col("r0") == F.col("major")), F.lit(False)))
+    minor = sides.where("minor").select(runtime.rekey("k").alias("t"), "pg", "n", "pos", "r0", "r1")
+    other = sides.select(runtime.rekey("k").alias("t"), "minor", *[F.col(c).alias(f"o_{c}") for c in ("pg", "n", "pos", "r0", "r1")])
+    met = minor.join(other, "t").where("pg <> o_pg and (not minor or pg < o_pg) and (r0 <> r1 or o_r0 <> o_r1 or r0 <> o_r0)")
+    met = met.where(f"100L * least(n, o_n) >= {percent} * greatest(n, o_n)")
+    swap = F.col("pg") > F.col("o_pg")
+    packed = lambda c: F.shiftleft(F.when(swap, F.col(f"o_{c}")).otherwise(F.col(c)).cast("long"), 32).bitwiseOR(F.when(swap, F.col(c)).otherwise(F.col(f"o_{c}")).cast("long"))
+    met = met.select(F.least("pg", "o_pg").alias("pg"), F.greatest("pg", "o_pg").alias("o_pg"), packed("n").alias("size"), packed("pos").alias("at"))
+    pairs = met.groupBy("pg", "o_pg").agg(F.count("*").alias("both"), F.min("size").alias("size"), F.min("at").alias("head"), F.max("at").alias("tail"))
+    high, low = (lambda c: F.shiftright(c, 32)), (lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)))
+    pairs = pairs.select("pg", "o_pg", "both", high("size").alias("n"), low("size").alias("m"), high("head").alias("p0"), low("head").alias("q0"), high("tail").alias("p"), low("tail").alias("q"))
+    return pairs.where(_fits("n", "p0", "m", "q0", percent)).where(_reaches(percent)).where(_beyond(percent)).select("pg", "o_pg")
+
+
+def _beyond(percent: int) -> F.Column:
+    """A pair shares what its prefixes share and what lies behind the prefix that ends first."""
+    longer = F.greatest(F.col("n"), F.col("m")).cast("long")
+    behind = F.floor((percent * longer + 99) / 100) - 1
+    return (100 + percent) * (F.col("both") + behind) >= percent * (F.col("n").cast("long") + F.col("m"))
+
+
 def _fits(n: str, pos: str, m: str, qos: str, percent: int) -> F.Column:
     """Length bound, and the positional bound if this is the first token that the two share.
 

@@ -96,6 +96,32 @@ def test_jaccard_join_of_a_large_family(spark):
     assert tally(got) == tally(brute_components(rows))
 
 
+def drifting_families(seed=8):
+    """Texts that drift apart step by step, so that families hold several components and chains."""
+    import random
+
+    r = random.Random(seed)
+    rows = []
+    for family in range(12):
+        w = [f"f{family % 9}w{r.randrange(60)}" for _ in range(r.choice([6, 30, 90]))]
+        for _ in range(14):
+            w = list(w)
+            for _ in range(r.randint(0, 3)):
+                w[r.randrange(len(w))] = f"n{r.randrange(40)}"
+            rows.append((len(rows), " ".join(w[: len(w) - r.randint(0, 2)])))
+    return rows
+
+
+def test_jaccard_join_across_components(spark, monkeypatch):
+    rows = drifting_families()
+    want = tally(brute_components(rows))
+    assert len({c for _, _, c in brute_components(rows)}) > 20
+    for few in (jaccard_join._FEW, 0):  # texts by broadcast keys, then by a shuffle
+        monkeypatch.setattr(jaccard_join, "_FEW", few)
+        got = jaccard_join.links_and_components(frame(spark, rows)).select("doc_id", "n_shingles", "component_id").collect()
+        assert tally(got) == want
+
+
 def test_decontamination(spark, docs, rows):
     texts = dict(rows)
     w = [x.decode() for x in words(texts[next(i for i, t in rows if t and t.count(" ") > 5000)], lower=True)]
