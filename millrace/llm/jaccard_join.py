@@ -38,6 +38,8 @@ from millrace.operators import components
 _NO_ID = (1 << 63) - 1
 #: Keys that may be broadcast to fetch texts (under 100 bytes each); more are joined by a shuffle.
 _FEW = 200_000
+#: Shingles that a slice of texts reports, its most frequent ones; this steers cost only.
+_SUMMARY = 1 << 14
 
 
 def _sets(text: pa.Array, shingle: int) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -67,7 +69,8 @@ def _rows(batches: Iterator[pa.RecordBatch], shingle: int, often: int) -> Iterat
             sigs = [_digest(s) for s in sets]
             once = list({k: s for k, s in zip(sigs, sets, strict=True)}.values())
             h, c = np.unique(np.concatenate(once), return_counts=True) if once else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            keep = c >= max(often, len(once) // 200)
+            keep = np.flatnonzero(c >= often)
+            keep = keep[np.argsort(-c[keep], kind="stable")[:_SUMMARY]]
             hot = [{"h": int(x), "c": int(y)} for x, y in zip(h[keep].view(np.int64), c[keep], strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id").slice(at, n), b.column("th").slice(at, n), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.binary()), pa.array([hot] + [None] * (n - 1), pa.list_(pa.struct([("h", pa.int64()), ("c", pa.int64())])))],
@@ -138,13 +141,13 @@ def _verified(batches: Iterator[pa.RecordBatch], shingle: int, percent: int) ->
         yield pa.RecordBatch.from_arrays([b.column("x"), b.column("y"), pa.array(ok, pa.bool_())], names=["x", "y", "ok"])
 
 
-def links_and_components(documents: DataFrame, *, shingle: int = 4, percent: int = 85, hot_table: int = 1 << 16, often: int = 8) -> DataFrame:
+def links_and_components(documents: DataFrame, *, shingle: int = 4, percent: int = 85, hot_table: int = 1 << 18, often: int = 2) -> DataFrame:
     """Every row of ``documents``: doc_id, th (xxhash64 of its text), n_shingles, component_id.
 
     Documents link when 100 * |intersection| >= percent * |union|; component_id is the smallest
     doc_id that links reach. ``hot_table`` bounds the table of frequent shingles that is
     broadcast (16 bytes each); a shingle is counted where ``often`` different sets of a slice
-    of texts, and half a percent of them, hold it.
+    of texts hold it and it is among the slice's most frequent.
     """
     spark = documents.sparkSession
     runtime.ship(spark)
