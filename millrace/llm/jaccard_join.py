@@ -10,10 +10,12 @@
    components. A bucket whose members are now in one component holds nothing more to find, so a
    large family of copies costs one pair a member instead of all pairs.
 5. In buckets that still hold several components, groups are paired across components, each
-   between a group outside the bucket's commonest component and the others. The tokens that two
-   groups share are counted; only group pairs that count, length and positions allow are expanded
-   to members and verified. So every pair that may link is verified or already connected:
-   components are exact.
+   between a group outside the bucket's commonest component and the others. Buckets of the same
+   groups are one. Within a bucket only groups meet whose sizes and positions allow a link: the
+   smaller is filed under its size, the larger under the sizes that its position leaves. The
+   prefixes of those pairs are compared; only group pairs that count, length and positions allow
+   are expanded to members and verified. So every pair that may link is verified or already
+   connected: components are exact.
 
 Verification compares whole sets. Defined cases: a null or wordless text has an empty set and
 links with nothing; a text shorter than a shingle is one shingle; rows that repeat are one class
@@ -172,11 +174,7 @@ def links_and_components(documents: DataFrame, *, shingle: int = 4, percent: int
     buckets = buckets.select(runtime.rekey("token").alias("k"), "centre", F.shiftright("first", 32).cast("int").alias("cpos"), F.col("first").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("cn"))
     stars = shared.select(runtime.rekey("token").alias("k"), "pg", "n", "pos").join(buckets, "k")
     stars = stars.where("pg <> centre").where(_fits("n", "pos", "cn", "cpos", percent)).groupBy("pg", "centre").count().groupBy("pg").agg(F.max_by("centre", F.struct("count", "centre")).alias("centre"))
-    stars = components.joined(stars, groups.select("pg", "n", F.col("prefix").alias("a")), "pg")
-    stars = components.joined(stars, groups.select(F.col("pg").alias("centre"), F.col("n").alias("m"), F.col("prefix").alias("b")), "centre")
-    stars = stars.withColumn("common", F.array_intersect("a", "b")).withColumn("last", F.element_at("common", -1))
-    stars = stars.withColumns({"both": F.size("common"), "p": F.array_position("a", F.col("last")) - 1, "q": F.array_position("b", F.col("last")) - 1})
-    stars = stars.where(_reaches(percent)).select("pg", "centre")
+    stars = _overlap(stars.withColumnRenamed("centre", "o_pg"), groups).where(_reaches(percent)).select("pg", F.col("o_pg").alias("centre"))
 
     middle = classes.groupBy("pg").agg(F.min("sig").alias("y"), F.count("*").alias("m"))
     inner = components.joined(classes.select(F.col("sig").alias("x"), "pg"), middle.where("m > 1").select("pg", "y"), "pg").where("x <> y").select("x", "y")
@@ -218,10 +216,17 @@ def links_and_components(documents: DataFrame, *, shingle: int = 4, percent: int
     spread = placed.groupBy("pg").agg(F.min("root").alias("r0"), F.max("root").alias("r1"))
     rows_of = work.save(components.joined(shared, spread, "pg"))
     work.drop(shared)
-    span = rows_of.groupBy("token").agg(F.min("r0").alias("r0"), F.max("r1").alias("r1")).where("r0 <> r1").select(runtime.rekey("token").alias("k"))
-    mixed = work.save(rows_of.select(runtime.rekey("token").alias("k"), "pg", "n", "pos", "r0", "r1").join(span, "k", "left_semi"))
+    # Tokens held by the same groups are one bucket, at the first one's places (all groups order tokens alike).
+    span = rows_of.groupBy("token").agg(F.min("r0").alias("least"), F.max("r1").alias("most"), F.xxhash64(F.bit_xor("pg"), F.count("*")).alias("held")).where("least <> most")
+    mixed = rows_of.select(runtime.rekey("token").alias("t"), "pg", "n", "pos", "r0", "r1").join(span.select(runtime.rekey("token").alias("t"), "held"), "t")
+    mixed = work.save(mixed.groupBy(F.col("held").alias("k"), "pg").agg(F.min("pos").alias("pos"), *[F.first(c).alias(c) for c in ("n", "r0", "r1")]))
     work.drop(rows_of)
-    across = _group_pairs(mixed, percent)
+    met = work.save(_meetings(mixed, percent).select("pg", "o_pg").distinct())
+    work.drop(mixed)
+    asked = work.save(met.select("pg").union(met.select("o_pg")).distinct())
+    compared = work.save(components.joined(groups, asked, "pg", "left_semi"))
+    across = work.save(_overlap(met, compared).where(_reaches(percent)).where(_beyond(percent)).select("pg", "o_pg"))
+    work.drop(met, asked, compared)
     across = components.joined(across, placed, "pg").select("v", "root", F.col("o_pg").alias("pg"))
     across = components.joined(across, placed.select("pg", F.col("v").alias("o_v"), F.col("root").alias("o_root")), "pg").where("root <> o_root")
     inside = components.joined(placed, spread.where("r0 <> r1").select("pg"), "pg", "left_semi")
@@ -237,27 +242,40 @@ def links_and_components(documents: DataFrame, *, shingle: int = 4, percent: int
     return out.select("doc_id", "th", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _group_pairs(mixed: DataFrame, percent: int) -> DataFrame:
-    """(pg, o_pg), once each: groups whose shared prefix tokens allow a link across components.
+def _meetings(mixed: DataFrame, percent: int) -> DataFrame:
+    """(pg, n, pos, o_pg, o_n, o_pos): groups that meet in a bucket and may link across components.
 
-    mixed: (k, pg, n, pos, r0, r1), a row for each prefix token of a group, with the least and
-    greatest root of its members. A bucket's groups that lie whole in its commonest component are
-    not paired with each other; any two groups with members in different components meet at every
-    token that they share, so their tokens can be counted before members are expanded.
+    mixed: (k, pg, n, pos, r0, r1), a row for each bucket of a group, with the least and greatest
+    root of its members. A bucket's groups that lie whole in its commonest component are not
+    paired with each other. The smaller group of a pair (by size, then key) is filed under the bin
+    of its size, where its position allows a partner at all, and the larger one under the bins
+    of the sizes that length and position leave to a smaller partner. So the many groups of a family
+    that differ in too much come into no common bin, rather than being met and refused.
     """
     major = mixed.where("r0 = r1").groupBy("k", "r0").count().groupBy("k").agg(F.max_by("r0", F.struct("count", "r0")).alias("major"))
     sides = components.joined(mixed, major, "k", "left").withColumn("minor", ~F.coalesce((F.col("r0") == F.col("r1")) & (F.col("r0") == F.col("major")), F.lit(False)))
-    minor = sides.where("minor").select(runtime.rekey("k").alias("t"), "pg", "n", "pos", "r0", "r1")
-    other = sides.select(runtime.rekey("k").alias("t"), "minor", *[F.col(c).alias(f"o_{c}") for c in ("pg", "n", "pos", "r0", "r1")])
-    met = minor.join(other, "t").where("pg <> o_pg and (not minor or pg < o_pg) and (r0 <> r1 or o_r0 <> o_r1 or r0 <> o_r0)")
-    met = met.where(f"100L * least(n, o_n) >= {percent} * greatest(n, o_n)")
-    swap = F.col("pg") > F.col("o_pg")
-    packed = lambda c: F.shiftleft(F.when(swap, F.col(f"o_{c}")).otherwise(F.col(c)).cast("long"), 32).bitwiseOR(F.when(swap, F.col(c)).otherwise(F.col(f"o_{c}")).cast("long"))
-    met = met.select(F.least("pg", "o_pg").alias("pg"), F.greatest("pg", "o_pg").alias("o_pg"), packed("n").alias("size"), packed("pos").alias("at"))
-    pairs = met.groupBy("pg", "o_pg").agg(F.count("*").alias("both"), F.min("size").alias("size"), F.min("at").alias("head"), F.max("at").alias("tail"))
-    high, low = (lambda c: F.shiftright(c, 32)), (lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)))
-    pairs = pairs.select("pg", "o_pg", "both", high("size").alias("n"), low("size").alias("m"), high("head").alias("p0"), low("head").alias("q0"), high("tail").alias("p"), low("tail").alias("q"))
-    return pairs.where(_fits("n", "p0", "m", "q0", percent)).where(_reaches(percent)).where(_beyond(percent)).select("pg", "o_pg")
+    sides = sides.withColumns({"n": F.col("n").cast("long"), "pos": F.col("pos").cast("long")})
+    small = sides.where(f"{100 + percent} * (n - pos) >= {2 * percent} * n").select(F.expr(f"xxhash64(k, {_bin('n')}, minor)").alias("t"), "pg", "n", "pos", "r0", "r1")
+    large = sides.withColumns({"low": F.expr(f"({percent} * n + 99) div 100"), "high": F.expr(f"least(n, (100 * n - {100 + percent} * pos) div {percent})")}).where("low <= high")
+    large = large.withColumn("bin", F.explode(F.expr(f"sequence({_bin('low')}, {_bin('high')})")))
+    large = large.withColumn("to_minor", F.explode(F.when(F.col("minor"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))))
+    large = large.select(F.xxhash64("k", "bin", "to_minor").alias("t"), *[F.col(c).alias(f"o_{c}") for c in ("pg", "n", "pos", "r0", "r1")])
+    met = small.join(large, "t").where("(n < o_n or n = o_n and pg < o_pg) and (r0 <> r1 or o_r0 <> o_r1 or r0 <> o_r0)")
+    return met.where(_fits("n", "pos", "o_n", "o_pos", percent)).select("pg", "n", "pos", "o_pg", "o_n", "o_pos")
+
+
+def _bin(size: str) -> str:
+    """SQL for the bin of a size, its five leading bits: sizes up to 31 have their own; consecutive and ascending."""
+    shift = f"greatest(length(bin({size})) - 5, 0)"
+    return f"(shiftright({size}, {shift}) + 16 * {shift})"
+
+
+def _overlap(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """Pairs (pg, o_pg) with their sizes n and m, the number of prefix tokens that both hold, and the last one's places p and q."""
+    out = components.joined(pairs, groups.select("pg", "n", F.col("prefix").alias("a")), "pg")
+    out = components.joined(out, groups.select(F.col("pg").alias("o_pg"), F.col("n").alias("m"), F.col("prefix").alias("b")), "o_pg")
+    out = out.withColumn("common", F.array_intersect("a", "b")).withColumn("last", F.try_element_at("common", F.lit(-1)))
+    return out.withColumns({"both": F.size("common"), "p": F.array_position("a", F.col("last")) - 1, "q": F.array_position("b", F.col("last")) - 1})
 
 
 def _beyond(percent: int) -> F.Column:

@@ -122,6 +122,45 @@ def test_jaccard_join_across_components(spark, monkeypatch):
         assert tally(got) == want
 
 
+def most_joined_rows(spark, f):
+    """What f returns, and the most rows that one join made meanwhile."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before, out, most = store.executionsList().size(), f(), 0
+    executions = store.executionsList()
+    for i in range(before, executions.size()):
+        number = executions.apply(i).executionId()
+        counts, nodes = store.executionMetrics(number), store.planGraph(number).allNodes()
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            metrics = node.metrics() if "Join" in node.name() else None
+            for m in (metrics.apply(k) for k in range(metrics.size() if metrics else 0)):
+                if m.name() == "number of output rows" and counts.contains(m.accumulatorId()):
+                    most = max(most, int(counts.apply(m.accumulatorId()).replace(",", "")))
+    return out, most
+
+
+def test_jaccard_join_of_a_family_just_below_the_bound(spark):
+    import random
+
+    r = random.Random(9)
+    base = [f"w{k}" for k in range(150)]
+    rows = []
+    for i in range(240):
+        w = list(base)
+        for k in r.sample(range(5, 145, 5), r.choice([2, 3, 3, 3])):
+            w[k] = f"u{r.random()}"
+        rows.append((i, " ".join(w)))
+    got, most = most_joined_rows(spark, lambda: jaccard_join.links_and_components(frame(spark, rows)).select("doc_id", "n_shingles", "component_id").collect())
+    assert tally(got) == tally(brute_components(rows))
+    assert len({c for _, _, c in got}) > 100
+    assert most <= 2 * 23 * len(rows)  # 23 prefix tokens a text; pairs of texts would be 28680
+
+
+def test_jaccard_join_size_bins(spark):
+    bins = [b for (b,) in spark.range(1, 3000).orderBy("id").selectExpr(jaccard_join._bin("id")).collect()]
+    assert bins[:31] == list(range(1, 32))
+    assert all(b - a in (0, 1) for a, b in zip(bins, bins[1:], strict=False))
+
+
 def test_decontamination(spark, docs, rows):
     texts = dict(rows)
     w = [x.decode() for x in words(texts[next(i for i, t in rows if t and t.count(" ") > 5000)], lower=True)]
