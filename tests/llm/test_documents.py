@@ -155,6 +155,31 @@ def test_jaccard_join_of_a_family_just_below_the_bound(spark):
     assert most <= 2 * 23 * len(rows)  # 23 prefix tokens a text; pairs of texts would be 28680
 
 
+def test_pipeline_stage_on_a_family_just_below_its_bound(spark):
+    import random
+
+    import corpus_pipeline
+
+    r = random.Random(10)
+    base = [f"w{k}" for k in range(150)]
+    rows = []
+    for i in range(240):
+        w = list(base)
+        for k in r.sample(range(5, 145, 5), r.choice([2, 4, 4, 4])):
+            w[k] = f"u{r.random()}"
+        rows.append((i, " ".join(w)))
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(146)} for _, t in rows]
+    least = list(range(len(rows)))
+    for x, y in ((x, y) for y in range(len(rows)) for x in range(y)):
+        if 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y]) and least[x] != least[y]:
+            a, b = sorted((least[x], least[y]))
+            least = [a if c == b else c for c in least]
+    got, most = most_joined_rows(spark, lambda: corpus_pipeline.one_of_each_group(spark, frame(spark, rows), "").collect())
+    assert sorted(g.doc_id for g in got) == sorted(set(least))
+    assert len(got) > 100
+    assert most <= 2 * 30 * len(rows)  # 30 prefix tokens a text; pairs of texts would be 28680
+
+
 def test_jaccard_join_size_bins(spark):
     bins = [b for (b,) in spark.range(1, 3000).orderBy("id").selectExpr(jaccard_join._bin("id")).collect()]
     assert bins[:31] == list(range(1, 32))
