@@ -4,7 +4,8 @@
 2. Shingles are ordered rarest first. The order comes from counts of the shingles that are
    frequent anywhere (a bounded table); it steers cost only, any total order is correct.
 3. Classes with the same prefix (under that order) and the same size are one group. Prefix
-   tokens are matched between groups, under length and positional bounds.
+   tokens are matched between groups, under length and positional bounds; a bucket (the groups
+   that hold a token) of two that do not fit is out at once.
 4. First every group is verified against one centre, the group of its buckets that has the
    fewest rarer tokens, and members against their group's own centre. Linked classes merge into
    components. A bucket whose members are now in one component holds nothing more to find, so a
@@ -13,7 +14,7 @@
    between a group outside the bucket's commonest component and the others. Buckets of the same
    groups are one. Within a bucket only groups meet whose sizes and positions allow a link: the
    smaller is filed under its size, the larger under the sizes that its position leaves. The
-   prefixes of those pairs are compared; only group pairs that count, length and positions allow
+   prefixes of those pairs are compared, by 16 bits a token; only group pairs that count, length and positions allow
    are expanded to members and verified. So every pair that may link is verified or already
    connected: components are exact.
 
@@ -165,16 +166,17 @@ def links_and_components(documents: DataFrame, *, shingle: int = 4, percent: int
     groups = work.save(marked.groupBy("pg").agg(F.first("n").cast("int").alias("n"), F.first("prefix").alias("prefix")))
     work.drop(marked)
 
-    # Narrow rows: a token is carried once, under the key that both sides exchange by.
-    often_held = groups.select(F.explode("prefix").alias("token")).groupBy("token").count().where("count > 1").select(runtime.rekey("token").alias("token"))
-    tokens = groups.select("pg", "n", F.posexplode("prefix").alias("pos", "t")).select(runtime.rekey("t").alias("token"), "pg", "n", "pos")
-    shared = work.save(tokens.join(often_held, "token"))
-    place = F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("n").cast("long"))
-    buckets = shared.groupBy("token").agg(F.min_by("pg", place).alias("centre"), F.min(place).alias("first"))
-    buckets = buckets.select(runtime.rekey("token").alias("k"), "centre", F.shiftright("first", 32).cast("int").alias("cpos"), F.col("first").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("cn"))
-    stars = shared.select(runtime.rekey("token").alias("k"), "pg", "n", "pos").join(buckets, "k")
-    stars = stars.where("pg <> centre").where(_fits("n", "pos", "cn", "cpos", percent)).groupBy("pg", "centre").count().groupBy("pg").agg(F.max_by("centre", F.struct("count", "centre")).alias("centre"))
-    stars = _overlap(stars.withColumnRenamed("centre", "o_pg"), groups).where(_reaches(percent)).select("pg", F.col("o_pg").alias("centre"))
+    # Narrow rows: a token is carried once, cut to 40 bits, under the key that both sides exchange by.
+    # Tokens that collide share a bucket, which can only add pairs to compare.
+    often_held = groups.select(F.explode("prefix").alias("t")).groupBy(_cut("t").alias("token")).count().where("count > 1").select(runtime.rekey("token").alias("token"))
+    tokens = groups.select("pg", "n", F.posexplode("prefix").alias("pos", "t")).select(_cut("t").alias("t"), "pg", "n", "pos").select(runtime.rekey("t").alias("token"), "pg", "n", "pos")
+    held = work.save(tokens.join(often_held, "token"))
+    brief = work.save(_brief(groups))
+    work.drop(groups)
+    shared = work.save(_buckets(held, percent))
+    work.drop(held)
+    stars = shared.where("pg <> centre").where(_fits("n", "pos", "cn", "cpos", percent)).groupBy("pg", "centre").count().groupBy("pg").agg(F.max_by("centre", F.struct("count", "centre")).alias("centre"))
+    stars = _overlap(stars.withColumnRenamed("centre", "o_pg"), brief).where(_reaches(percent)).select("pg", F.col("o_pg").alias("centre"))
 
     middle = classes.groupBy("pg").agg(F.min("sig").alias("y"), F.count("*").alias("m"))
     inner = components.joined(classes.select(F.col("sig").alias("x"), "pg"), middle.where("m > 1").select("pg", "y"), "pg").where("x <> y").select("x", "y")
@@ -214,7 +216,7 @@ def links_and_components(documents: DataFrame, *, shingle: int = 4, percent: int
     rooted = components.joined(classes.select(F.col("sig").alias("v"), "pg"), linked.select("v", "root"), "v")
     placed = work.save(rooted.select("v", "pg", F.xxhash64("root").alias("root")))
     spread = placed.groupBy("pg").agg(F.min("root").alias("r0"), F.max("root").alias("r1"))
-    rows_of = work.save(components.joined(shared, spread, "pg"))
+    rows_of = work.save(components.joined(shared.select("token", "pg", "n", "pos"), spread, "pg"))
     work.drop(shared)
     # Tokens held by the same groups are one bucket, at the first one's places (all groups order tokens alike).
     span = rows_of.groupBy("token").agg(F.min("r0").alias("least"), F.max("r1").alias("most"), F.xxhash64(F.bit_xor("pg"), F.count("*")).alias("held")).where("least <> most")
@@ -224,9 +226,9 @@ def links_and_components(documents: DataFrame, *, shingle: int = 4, percent: int
     met = work.save(_meetings(mixed, percent).select("pg", "o_pg").distinct())
     work.drop(mixed)
     asked = work.save(met.select("pg").union(met.select("o_pg")).distinct())
-    compared = work.save(components.joined(groups, asked, "pg", "left_semi"))
-    across = work.save(_overlap(met, compared).where(_reaches(percent)).where(_beyond(percent)).select("pg", "o_pg"))
-    work.drop(met, asked, compared)
+    compared = work.save(components.joined(brief, asked, "pg", "left_semi"))
+    across = work.save(_overlap(met, compared).where(_beyond(percent)).select("pg", "o_pg"))
+    work.drop(met, asked, compared, brief)
     across = components.joined(across, placed, "pg").select("v", "root", F.col("o_pg").alias("pg"))
     across = components.joined(across, placed.select("pg", F.col("v").alias("o_v"), F.col("root").alias("o_root")), "pg").where("root <> o_root")
     inside = components.joined(placed, spread.where("r0 <> r1").select("pg"), "pg", "left_semi")
@@ -270,12 +272,39 @@ def _bin(size: str) -> str:
     return f"(shiftright({size}, {shift}) + 16 * {shift})"
 
 
-def _overlap(pairs: DataFrame, groups: DataFrame) -> DataFrame:
-    """Pairs (pg, o_pg) with their sizes n and m, the number of prefix tokens that both hold, and the last one's places p and q."""
-    out = components.joined(pairs, groups.select("pg", "n", F.col("prefix").alias("a")), "pg")
-    out = components.joined(out, groups.select(F.col("pg").alias("o_pg"), F.col("n").alias("m"), F.col("prefix").alias("b")), "o_pg")
+def _cut(token: str) -> F.Column:
+    """A token's last 40 bits, which are enough to tell nearly all of them apart."""
+    return F.col(token).bitwiseAND(F.lit((1 << 40) - 1))
+
+
+def _brief(groups: DataFrame) -> DataFrame:
+    """(pg, n, brief, twice): the prefix by 16 bits a token, and how many tokens repeat the bits of an earlier one."""
+    out = groups.select("pg", "n", F.transform("prefix", lambda t: (t.bitwiseAND(F.lit(0xFFFF)) - F.lit(1 << 15)).cast("short")).alias("brief"))
+    return out.withColumn("twice", F.size("brief") - F.size(F.array_distinct("brief")))
+
+
+def _buckets(held: DataFrame, percent: int) -> DataFrame:
+    """The rows of ``held`` (token, pg, n, pos) whose bucket may hold a link, with the bucket's centre and the centre's size and place.
+
+    A bucket of two rows is out if the two do not fit: a pair that links fits at its first shared token.
+    """
+    place = F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("n").cast("long"))
+    buckets = held.groupBy("token").agg(F.min_by("pg", place).alias("centre"), F.min(place).alias("first"), F.count("*").alias("rows"), F.sum("n").alias("total"), F.min(F.col("n") - F.col("pos")).alias("rest"))
+    buckets = buckets.where(f"rows > 2 or {100 + percent} * cast(rest as long) >= {percent} * total")
+    buckets = buckets.select(runtime.rekey("token").alias("k"), "centre", F.shiftright("first", 32).cast("int").alias("cpos"), F.col("first").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("cn"))
+    return held.select(runtime.rekey("token").alias("k"), "pg", "n", "pos").join(buckets, "k").withColumnRenamed("k", "token")
+
+
+def _overlap(pairs: DataFrame, brief: DataFrame) -> DataFrame:
+    """Pairs (pg, o_pg) with their sizes n and m, at least the number of prefix tokens that both hold, and the last one's places p and q.
+
+    Tokens are compared by 16 bits, so ``both`` may be too great, and p and q may be those of
+    tokens that differ: only bounds that allow for it may rule a pair out for good.
+    """
+    out = components.joined(pairs, brief.select("pg", "n", F.col("brief").alias("a"), F.col("twice").alias("s")), "pg")
+    out = components.joined(out, brief.select(F.col("pg").alias("o_pg"), F.col("n").alias("m"), F.col("brief").alias("b"), F.col("twice").alias("t")), "o_pg")
     out = out.withColumn("common", F.array_intersect("a", "b")).withColumn("last", F.try_element_at("common", F.lit(-1)))
-    return out.withColumns({"both": F.size("common"), "p": F.array_position("a", F.col("last")) - 1, "q": F.array_position("b", F.col("last")) - 1})
+    return out.withColumns({"both": F.size("common") + F.least("s", "t"), "p": F.array_position("a", F.col("last")) - 1, "q": F.array_position("b", F.col("last")) - 1})
 
 
 def _beyond(percent: int) -> F.Column:
@@ -295,6 +324,9 @@ def _fits(n: str, pos: str, m: str, qos: str, percent: int) -> F.Column:
 
 
 def _reaches(percent: int) -> F.Column:
-    """Positional bound of a pair: its shared prefix tokens and at most all that follows the last one."""
+    """Positional bound of a pair: its shared prefix tokens and at most all that follows the last one.
+
+    With places by 16 bits it may refuse a pair that links, which the pass over all pairs then finds.
+    """
     rest = F.least(F.col("n") - F.col("p"), F.col("m") - F.col("q")) - 1
     return (100 + percent) * (F.col("both") + rest) >= percent * (F.col("n").cast("long") + F.col("m"))

@@ -186,6 +186,35 @@ def test_jaccard_join_size_bins(spark):
     assert all(b - a in (0, 1) for a, b in zip(bins, bins[1:], strict=False))
 
 
+def test_jaccard_join_drops_buckets_of_two_that_do_not_fit(spark, monkeypatch):
+    met, meetings = [], jaccard_join._meetings
+    monkeypatch.setattr(jaccard_join, "_meetings", lambda mixed, percent: met.append(mixed.count()) or meetings(mixed, percent))
+    rows = []
+    for i in range(20):  # a text, and the same text among as many words again: prefixes share tokens, nothing can link
+        w = [f"a{i}x{k}" for k in range(200)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w + [f"b{i}x{k}" for k in range(240)]))]
+    got = jaccard_join.links_and_components(frame(spark, rows), often=3).select("doc_id", "n_shingles", "component_id").collect()
+    assert tally(got) == tally(brute_components(rows))
+    assert all(i == c for i, _, c in got)
+    assert met == [0]
+
+
+def test_jaccard_join_counts_of_cut_prefixes_are_never_too_small(spark):
+    import random
+
+    r = random.Random(4)
+    prefixes = []
+    for _ in range(30):  # tokens of which many have the same last 16 bits
+        w = [r.randrange(1 << 63) >> 20 << 20 | r.randrange(12) << 14 | r.randrange(3) for _ in range(40)]
+        prefixes += [w, r.sample(w, 25) + [r.randrange(1 << 63) for _ in range(5)]]
+    groups = spark.createDataFrame([(i, 200, p) for i, p in enumerate(prefixes)], "pg long, n int, prefix array<long>")
+    pairs = spark.createDataFrame([(i, j) for i in range(60) for j in range(i)], "pg long, o_pg long")
+    got = {(x.pg, x.o_pg): x.both for x in jaccard_join._overlap(pairs, jaccard_join._brief(groups)).collect()}
+    assert len(got) == 60 * 59 // 2
+    assert all(both >= len(set(prefixes[i]) & set(prefixes[j])) for (i, j), both in got.items())
+    assert all(got[i + 1, i] >= 25 for i in range(0, 60, 2))
+
+
 def test_decontamination(spark, docs, rows):
     texts = dict(rows)
     w = [x.decode() for x in words(texts[next(i for i, t in rows if t and t.count(" ") > 5000)], lower=True)]
